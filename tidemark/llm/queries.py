@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import survivorship
+from tidemark.llm import glyphs, survivorship
 from tidemark.plans.shared import load
 
 
@@ -16,4 +16,12 @@ def p1_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.golden_records(load(spark, d, "github_records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.found(load(spark, d, "source_records"))
+
+
+def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.unify_fields(load(spark, d, "source_records"), "record_id", ["title", "summary"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p3_found, p3_unified)}
