@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import glyphs, survivorship
+from tidemark.llm import glyphs, leakage, survivorship
 from tidemark.plans.shared import load
 
 
@@ -24,4 +24,12 @@ def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.unify_fields(load(spark, d, "source_records"), "record_id", ["title", "summary"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p3_found, p3_unified)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
