@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import glyphs, leakage, survivorship
+from tidemark.llm import glyphs, leakage, mixing, survivorship
 from tidemark.plans.shared import load
 
 
@@ -32,4 +32,12 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
