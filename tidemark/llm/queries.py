@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import glyphs, leakage, mixing, survivorship
+from tidemark.llm import glyphs, leakage, mixing, setjoin, survivorship
 from tidemark.plans.shared import load
 
 
@@ -40,4 +40,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.found(load(spark, d, "source_records"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.groups(load(spark, d, "source_records"), "record_id", ["title", "summary"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
