@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import glyphs, leakage, mixing, setjoin, survivorship
+from tidemark.llm import glyphs, history, leakage, mixing, setjoin, survivorship
 from tidemark.plans.shared import load
 
 
@@ -48,4 +48,12 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.groups(load(spark, d, "source_records"), "record_id", ["title", "summary"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.found(load(spark, d, "edition_items"), load(spark, d, "incoming_items"))
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return history.matches(load(spark, d, "edition_items"), load(spark, d, "incoming_items"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p2_found, p2_groups, p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
