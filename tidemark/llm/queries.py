@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import glyphs, history, leakage, mixing, setjoin, survivorship
+from tidemark.llm import glyphs, history, leakage, linkage, mixing, setjoin, survivorship
 from tidemark.plans.shared import load
 
 
@@ -56,4 +56,12 @@ def p5_matches(spark: SparkSession, d: str) -> DataFrame:
     return history.matches(load(spark, d, "edition_items"), load(spark, d, "incoming_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_matches, p2_found, p2_groups, p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.found(load(spark, d, "arxiv_records"), load(spark, d, "github_records"))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(load(spark, d, "arxiv_records"), load(spark, d, "github_records"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_links, p5_found, p5_matches, p2_found, p2_groups, p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
