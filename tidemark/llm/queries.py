@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import glyphs, history, leakage, linkage, mixing, setjoin, survivorship
+from tidemark.llm import abuse, glyphs, history, leakage, linkage, mixing, setjoin, survivorship
 from tidemark.plans.shared import load
 
 
@@ -64,4 +64,16 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
     return linkage.link(load(spark, d, "arxiv_records"), load(spark, d, "github_records"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_links, p5_found, p5_matches, p2_found, p2_groups, p7_mixture, p7_shares, p6_found, p6_leaks, p1_found, p1_golden, p3_found, p3_unified)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(load(spark, d, "documents"), load(spark, d, "review_labels"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(load(spark, d, "documents"), load(spark, d, "review_labels"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(load(spark, d, "documents"), load(spark, d, "review_labels"))
+
+
+QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit() and callable(f)}
