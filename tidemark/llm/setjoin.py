@@ -171,58 +171,107 @@ def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool =
     return reps.select("rep", "codes").mapInPandas(run, "word bigint, list binary")
 
 
-def _compare(e: np.ndarray, threshold: float, only_new: bool, out: list[np.ndarray]) -> None:
-    """Pairs of entries of one word whose sketches allow the threshold; appended to ``out`` as (smaller id, larger id)."""
-    m = len(e)
-    if m < 2:
-        return
-    fresh = (e["n"] & NEW) > 0
-    n = (e["n"] & ~NEW).astype(np.int64)
-    order = np.lexsort((e["id"], n))
-    e, n, fresh = e[order], n[order], fresh[order]
-    ids, s, pos = e["id"], np.ascontiguousarray(e["s"].T), e["pos"].astype(np.int64)
-    a_sum, a_diff = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
-    left = n - pos  # words from here on: the most that this word's list may still find
-    most = np.floor(left / a_sum - n + 1e-9).astype(np.int64)  # largest partner that so much overlap suffices for
-    index = left >= np.ceil(2 * a_sum * n - 1e-9)  # may be the smaller set of a pair
-
-    def meet(x: np.ndarray, y: np.ndarray) -> None:
-        """``x`` as smaller, ``y`` as larger sets."""
-        nx = n[x]
+def _near(s: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d = np.bitwise_count(s[0, u] ^ s[0, v]).astype(np.int16)
+    for w in range(1, SKETCH):
+        d += np.bitwise_count(s[w, u] ^ s[w, v])
+    return d
+
+
+class Comparer:
+    """Compares the entries of one word after another; short lists are put off and compared many at once."""
+
+    SMALL, ROWS, COLUMNS = 32, 32, 2048
+
+    def __init__(self, threshold: float, only_new: bool) -> None:
+        self.threshold, self.only_new = threshold, only_new
+        self.a_sum, self.a_diff = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
+        self.out: list[np.ndarray] = []
+        self.waiting: dict[int, list[np.ndarray]] = {}
+        size = self.ROWS * self.COLUMNS
+        self.bits, self.one, self.two, self.hit = np.empty(size, np.uint64), np.empty(size, np.uint8), np.empty(size, np.uint8), np.empty(size, bool)
+
+    def add(self, e: np.ndarray) -> None:
+        if len(e) < 2:
+            return
+        if len(e) <= self.SMALL:
+            same = self.waiting.setdefault(len(e), [])
+            same.append(e)
+            if len(same) * len(e) ** 2 > 1 << 18:
+                self._small(len(e))
+        else:
+            self._large(e)
+
+    def flush(self) -> None:
+        for m in list(self.waiting):
+            self._small(m)
+
+    def _emit(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+
+    def _small(self, m: int) -> None:
+        e = np.stack(self.waiting.pop(m))
+        i, j = np.triu_indices(m, 1)
+        x, y = e[:, i], e[:, j]
+        n, k = (x["n"] & ~NEW).astype(np.int64), (y["n"] & ~NEW).astype(np.int64)
+        ok = np.bitwise_count(x["s"] ^ y["s"]).sum(2, dtype=np.int64) <= self.a_diff * (n + k) + 1e-9
+        ok &= np.minimum(n, k) >= self.threshold * np.maximum(n, k) - 1e-9
+        ok &= x["id"] != y["id"]
+        if self.only_new:
+            ok &= ((x["n"] | y["n"]) & NEW) > 0
+        if ok.any():
+            self._emit(x["id"][ok], y["id"][ok])
+
+    def _large(self, e: np.ndarray) -> None:
+        fresh = (e["n"] & NEW) > 0
+        n = (e["n"] & ~NEW).astype(np.int64)
+        order = np.lexsort((e["id"], n))
+        e, n, fresh = e[order], n[order], fresh[order]
+        ids, s = e["id"], np.ascontiguousarray(e["s"].T)
+        left = n - e["pos"]  # words from here on: the most that this word's list may still find
+        most = np.floor(left / self.a_sum - n + 1e-9).astype(np.int64)  # largest partner that so much overlap suffices for
+        index = left >= np.ceil(2 * self.a_sum * n - 1e-9)  # may be the smaller set of a pair
+        every = np.arange(len(e))
+        if not self.only_new:
+            self._meet(every[index], every, ids, s, n, most)
+        elif fresh.any():
+            self._meet(every[index & fresh], every, ids, s, n, most)
+            self._meet(every[index & ~fresh], every[fresh], ids, s, n, most)
+
+    def _meet(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, s: np.ndarray, n: np.ndarray, most: np.ndarray) -> None:
+        """``x`` as smaller, ``y`` as larger sets; both in order of size. Bands of ``y`` by the size of partner they allow."""
+        nx, xs = n[x], s[:, x]
+        share = most[y] / n[y]
         for lo, hi in ((1.0, math.inf), (0.9, 1.0), (0.8, 0.9), (0.7, 0.8), (0.0, 0.7)):
-            part = y[(most[y] >= lo * n[y]) & (most[y] < hi * n[y])]
-            for i in range(0, len(part), 64):
-                p = part[i : i + 64]
+            part = y[(share >= lo) & (share < hi)]
+            for i in range(0, len(part), self.ROWS):
+                p = part[i : i + self.ROWS]
                 top = n[p[-1]]
-                a = np.searchsorted(nx, math.ceil(threshold * n[p[0]] - 1e-9), "left")
-                z = np.searchsorted(nx, min(top, int(most[p].max())), "right")
-                sy = s[0, p][:, None]
-                for j in range(a, z, 4096):
-                    q = x[j : min(z, j + 4096)]
-                    bound = int(a_diff * (top + n[q[-1]]) + 1e-9)
-                    hit = np.flatnonzero(np.bitwise_count(s[0, q][None, :] ^ sy) <= bound)
-                    if not len(hit):
+                a = int(np.searchsorted(nx, math.ceil(self.threshold * n[p[0]] - 1e-9), "left"))
+                z = int(np.searchsorted(nx, min(top, int(most[p].max())), "right"))
+                ys = s[:, p][:, :, None]
+                for j in range(a, z, self.COLUMNS):
+                    k = min(z, j + self.COLUMNS)
+                    shape, size = (len(p), k - j), len(p) * (k - j)
+                    bits, one, two = self.bits[:size].reshape(shape), self.one[:size].reshape(shape), self.two[:size].reshape(shape)
+                    np.bitwise_xor(xs[0][None, j:k], ys[0], out=bits)
+                    np.bitwise_count(bits, out=one)
+                    for w in range(1, SKETCH):
+                        np.bitwise_xor(xs[w][None, j:k], ys[w], out=bits)
+                        np.bitwise_count(bits, out=two)
+                        np.add(one, two, out=one)
+                    pad = -(-size // 8) * 8
+                    self.hit[size:pad] = False
+                    np.less_equal(self.one[:size], min(255, int(self.a_diff * (top + nx[k - 1]) + 1e-9)), out=self.hit[:size])
+                    eights = np.flatnonzero(self.hit[:pad].view(np.uint64))
+                    if not len(eights):
                         continue
-                    u, v = p[hit // len(q)], q[hit % len(q)]
-                    lim = a_diff * (n[u] + n[v]) + 1e-9
-                    d = np.bitwise_count(s[0, u] ^ s[0, v]) + np.bitwise_count(s[1, u] ^ s[1, v])
-                    ok = (d <= lim) & (u > v)
-                    u, v, d, lim = u[ok], v[ok], d[ok], lim[ok]
-                    for w in range(2, SKETCH):
-                        d = d + np.bitwise_count(s[w, u] ^ s[w, v])
-                    ok = (d <= lim) & (ids[u] != ids[v])
+                    at = (eights[:, None] * 8 + np.arange(8)).ravel()
+                    at = at[self.hit[at]]
+                    u, v = p[at // (k - j)], x[j + at % (k - j)]
+                    ok = (_near(s, u, v) <= self.a_diff * (n[u] + n[v]) + 1e-9) & (ids[u] != ids[v])
                     if ok.any():
-                        a2, b2 = ids[u[ok]], ids[v[ok]]
-                        out.append(np.stack([np.minimum(a2, b2), np.maximum(a2, b2)]))
-
-    every = np.arange(m)
-    if only_new:
-        if not fresh.any():
-            return
-        meet(every[index & fresh], every)
-        meet(every[index & ~fresh], every[fresh])
-    else:
-        meet(every[index], every)
+                        self._emit(ids[u[ok]], ids[v[ok]])
 
 
 def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block: int = BLOCK) -> DataFrame:
@@ -242,12 +291,12 @@ def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block
     cells = cells.repartition("word", "cell").sortWithinPartitions("word", "cell")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now, out, n = [], None, [], 0
+        held, now, compare = [], None, Comparer(threshold, only_new)
 
         def flush():
             nonlocal held
             if held and (len(held) > 1 or len(held[0]) > ENTRY.itemsize):
-                _compare(np.frombuffer(b"".join(held), ENTRY), threshold, only_new, out)
+                compare.add(np.frombuffer(b"".join(held), ENTRY))
             held = []
 
         for b in batches:
@@ -256,11 +305,12 @@ def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block
                     flush()
                     now = (w, c)
                 held.append(x)
-            if sum(x.shape[1] for x in out) > 50_000:
-                yield _pairs(out)
-                out.clear()
+            if sum(x.shape[1] for x in compare.out) > 50_000:
+                yield _pairs(compare.out)
+                compare.out.clear()
         flush()
-        yield _pairs(out)
+        compare.flush()
+        yield _pairs(compare.out)
 
     return cells.mapInPandas(run, "a bigint, b bigint").distinct()
 
