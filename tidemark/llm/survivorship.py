@@ -74,7 +74,7 @@ def surviving_fields(records: DataFrame, half_life_days: float = 90.0) -> DataFr
     votes and ranks last; repeated rows each vote; an empty table gives an empty result. Every aggregate is combined
     before its shuffle, so that a repository with a third of all rows is no hot task.
     """
-    seen = F.col("fetched_at").cast("timestamp")
+    seen = F.col("fetched_at").cast("timestamp_ntz")
     valid = seen.isNotNull() & ~F.coalesce(seen < F.col("created_at"), F.lit(False)) & ~F.coalesce(seen > F.col("ingested_at"), F.lit(False))
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.col("ingested_at")) - F.unix_timestamp(seen)) / 86400.0)
     base = records.select(
@@ -96,7 +96,7 @@ def surviving_fields(records: DataFrame, half_life_days: float = 90.0) -> DataFr
     # null trust, time and id rank below all others; structs compare field by field
     rank = F.struct(
         F.coalesce("trust", F.lit(float("-inf"))).alias("trust"),
-        F.coalesce("seen", F.lit("0001-01-01").cast("timestamp")).alias("seen"),
+        F.coalesce("seen", F.lit("0001-01-01").cast("timestamp_ntz")).alias("seen"),
         (-F.coalesce("record_id", F.lit(2**63 - 1))).alias("id"),
     )
     per_value = long.groupBy("entity_key", "field_name", "value").agg(
