@@ -1,3 +1,23 @@
 """SQL that gives the same rows, where SQL can."""
 
-SQL: dict[str, str] = {}
+_KEY = "regexp_replace(regexp_replace(lower(regexp_replace(external_id, '^\\s+|\\s+$', '', 'g')), '^(?:git\\+)?(?:[a-z][a-z+.]*://)?(?:[^/@\\s]+@)?(?:www\\.)?github\\.example(?::\\d+/|[:/])/*', ''), '[?#].*$', '')"
+_PATH = "'^/*([^/\\s:]+)\\s*/+\\s*([^/\\s:]+?)(?:\\.git)?(?:/.*)?$'"
+_NO_LICENSE = "('', '-', '--', 'n/a', 'na', 'nil', 'no license', 'noassertion', 'none', 'not specified', 'null', 'other', 'see license', 'tbd', 'todo', 'undefined', 'unknown', 'unlicensed', '?')"
+_HOST = "lower(regexp_extract(regexp_replace(trim(homepage), '^(?i:https?:)?//(?:[^/@?#\\s]*@)?', ''), '^(\\[[0-9A-Fa-f:.]+\\]|[^/:?#\\s\\[\\]]+)(?::\\d+)?(?:[/?#]\\S*)?$', 1))"
+
+_WORDS = "regexp_extract_all(regexp_replace(lower(text), '</?[a-z!][^<>]{0,300}>|&(?:#\\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,8});', ' ', 'g'), '[\\p{L}\\p{N}]+')"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""with k as (select *, regexp_extract({_KEY}, {_PATH}, 1) || '/' || regexp_extract({_KEY}, {_PATH}, 2) as entity_key,
+      case when fetched_at < created_at or fetched_at > ingested_at then null else fetched_at end as seen from github_records),
+    n as (select entity_key, count(*) as n from k where entity_key <> '/' group by 1),
+    u as (select entity_key, 'license' as field_name, record_id, source_authority, seen from k where license is not null and lower(trim(license)) not in {_NO_LICENSE}
+      union all select entity_key, 'homepage', record_id, source_authority, seen from (select *, {_HOST} as h from k where homepage is not null)
+      where regexp_matches(h, '^(?:[\\p{{L}}\\p{{N}}_](?:[\\p{{L}}\\p{{N}}_-]*[\\p{{L}}\\p{{N}}_])?\\.)+\\p{{L}}[\\p{{L}}\\p{{N}}-]*$') and not regexp_matches(h, '(?:^|\\.)(?:localhost|localdomain|local)$'))
+    select entity_key, field_name, record_id from u join n using (entity_key) where n >= 2
+    qualify row_number() over (partition by entity_key, field_name order by source_authority desc, seen desc nulls last, record_id) = 1""",
+    "p6_found": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), e as (select item_no, {_WORDS} as w from eval_items),
+    dw as (select doc_id, array_to_string(w[i:i + 11], ' ') as g from d, unnest(generate_series(1, len(w) - 11)) as t(i)),
+    ew as (select distinct item_no, array_to_string(w[i:i + 11], ' ') as g from e, unnest(generate_series(1, len(w) - 11)) as t(i))
+    select distinct doc_id, item_no from dw join ew using (g)""",
+}
