@@ -147,3 +147,14 @@ def test_filters_reach_the_scan(spark):
     plan = editions.history(e, core.NOW).select("item_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(published_at)" in plan
     assert F is not None
+
+
+def test_consumer_cascade(spark):
+    from tidemark.operators import cascade
+
+    known = spark.createDataFrame([("c1", "ann", "bot/1.0 (x)", "1.1.1.1"), ("c2", None, "tool/2", "2.2.2.2"), ("c3", None, "tool/3", "3.3.3.3"), ("c4", None, "solo/1 lib/2", "4.4.4.4")], "consumer_id string, declared string, agent string, ip string")
+    rows = [(1, "ann", None, None), (2, None, "Tool/9", "2.2.2.2"), (3, None, "tool/1", "9.9.9.9"), (4, None, "solo/7 lib/1", "9.9.9.9"), (5, None, None, "3.3.3.3"), (6, " ", None, None)]
+    got = {r["request_id"]: (r["consumer_id"], r["by"]) for r in cascade.matched(spark.createDataFrame(rows, "request_id int, declared string, agent string, ip string"), known).collect()}
+    assert got == {1: ("c1", "declared"), 2: ("c2", "agent and address"), 3: (None, None), 4: ("c4", "agent"), 5: ("c3", "address"), 6: (None, None)}
+    x = spark.range(1).select(cascade.client_ip(F.lit(" ::FFFF:1.2.3.4, 5.6.7.8"), F.lit(None), F.lit("9.9.9.9")).alias("a"), cascade.client_ip(F.lit(None).cast("string"), F.lit('for="[fe80::1%eth0]"'), F.lit("9.9.9.9")).alias("b")).first()
+    assert (x["a"], x["b"]) == ("1.2.3.4", "fe80::1")
