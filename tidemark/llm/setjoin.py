@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+import struct
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import glyphs
+from tidemark.operators.graph import components
 from tidemark.plans.shared import park
 
 _WORD = re.compile(r"[^\W_]+")
@@ -46,7 +50,7 @@ def readable(rows: DataFrame, key: str, columns: list[str], name: str) -> DataFr
     """``id, text`` with the columns' texts together in their visually consistent form; rows of a null key are left out."""
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text_of(*columns).alias("text"))
     need = glyphs.needs_work(F.col("text"))
-    hard = rows.where(need)
+    hard = park(rows.where(need), name)  # a small part, read twice below
     form = glyphs.unify_dictionary(hard).select(F.col("text").alias("was"), "unified")
     hard = hard.join(form, hard["text"] == form["was"], "left").select("id", F.coalesce("unified", "text").alias("text"))
     return rows.where(~need).unionByName(park(hard, name))
@@ -99,22 +103,33 @@ class Coder:
 
         base = {w: i for i, w in enumerate(frequent)}
         self.memo = Memo(base)
-        self.rank = np.dtype("<u2") if len(frequent) < 1 << 16 else np.dtype("<u4")
+        self.rank = "H" if len(frequent) < 1 << 16 else "I"
 
-    def codes(self, text: str) -> np.ndarray:
-        s = _words(text)
-        a = np.fromiter(map(self.memo.__getitem__, s), np.int64, len(s))
-        a.sort()
-        return np.unique(a) if len(a) > 1 and (a[1:] == a[:-1]).any() else a
+    def pack(self, text: str) -> bytes | None:
+        """The numbers of a text's words in order: how many are rare, those in 8 bytes each, the ranks of the others; None without words."""
+        words = _words(text)
+        if not words:
+            return None
+        codes = sorted(map(self.memo.__getitem__, words))
+        k = bisect_left(codes, 0)
+        return struct.pack("<I", k) + array("q", codes[:k]).tobytes() + array(self.rank, codes[k:]).tobytes()
 
-    def pack(self, a: np.ndarray) -> bytes:
-        k = int(np.searchsorted(a, 0))
-        return np.uint32(k).tobytes() + a[:k].tobytes() + a[k:].astype(self.rank).tobytes()
 
+def _rank(frequent: list[str]) -> np.dtype:
+    return np.dtype("<u2") if len(frequent) < 1 << 16 else np.dtype("<u4")
 
-def unpack(b: bytes, rank: np.dtype) -> np.ndarray:
-    k = int(np.frombuffer(b, "<u4", 1)[0])
-    return np.concatenate([np.frombuffer(b, "<i8", k, 4), np.frombuffer(b, rank, -1, 4 + 8 * k).astype(np.int64)])
+
+def unpack(packed: list[bytes], rank: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of many packed sets, one set after the other, and the size of each."""
+    k = np.array([int.from_bytes(x[:4], "little") for x in packed], np.int64)
+    rare = np.frombuffer(b"".join([x[4 : 4 + 8 * m] for x, m in zip(packed, k.tolist())]), "<i8")
+    often = np.frombuffer(b"".join([x[4 + 8 * m :] for x, m in zip(packed, k.tolist())]), rank)
+    n = k + np.array([(len(x) - 4) // rank.itemsize for x in packed], np.int64) - k * (8 // rank.itemsize)
+    flat = np.empty(int(n.sum()), np.int64)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    first = place < np.repeat(k, n)
+    flat[first], flat[~first] = rare, often
+    return flat, n
 
 
 def encode(texts: DataFrame, frequent: list[str]) -> DataFrame:
@@ -127,15 +142,11 @@ def encode(texts: DataFrame, frequent: list[str]) -> DataFrame:
 
         coder = Coder(sent.value)
         for b in batches:
-            ids, h, packed = [], [], []
-            for i, t in zip(b["id"], b["text"]):
-                a = coder.codes(t)
-                if len(a):
-                    ids.append(i)
-                    h.append(xxhash.xxh3_128_digest(a.tobytes()))
-                    packed.append(coder.pack(a))
-            two = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"id": ids, "h1": two[:, 0], "h2": two[:, 1], "codes": packed})
+            packed = [coder.pack(t) for t in b["text"].tolist()]
+            some = np.array([x is not None for x in packed], bool)
+            packed = [x for x in packed if x is not None]
+            two = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), "<i8").reshape(-1, 2)
+            yield pd.DataFrame({"id": b["id"].to_numpy()[some], "h1": two[:, 0], "h2": two[:, 1], "codes": packed})
 
     return texts.select("id", "text").mapInPandas(run, "id bigint, h1 bigint, h2 bigint, codes binary")
 
@@ -147,15 +158,13 @@ def classes(encoded: DataFrame) -> DataFrame:
 
 def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool = False) -> DataFrame:
     """The short lists, in pieces: ``word, list`` with the entries of the sets that have the word among their first."""
-    rank = np.dtype("<u2") if len(frequent) < 1 << 16 else np.dtype("<u4")
+    rank = _rank(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [unpack(x, rank) for x in b["codes"]]
-            n = np.array([len(x) for x in sets])
+            flat, n = unpack(b["codes"].tolist(), rank)
             if not len(n):
                 continue
-            flat = np.concatenate(sets)
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
             bit = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(64 * SKETCH)
             one = np.uint64(1) << (bit & np.uint64(63))
@@ -340,15 +349,17 @@ def _pairs(out: list[np.ndarray]) -> pd.DataFrame:
 
 def verify(pairs: DataFrame, reps: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
     """``a, b, similarity`` of the pairs whose sets share at least ``threshold`` of their union."""
-    rank = np.dtype("<u2") if len(frequent) < 1 << 16 else np.dtype("<u4")
+    rank = _rank(frequent)
     sets = reps.select("rep", "codes")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("cb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
+            if not len(t):
+                continue
             got = np.zeros(len(t))
-            for i, (x, y) in enumerate(zip(t["ca"], t["cb"])):
-                x, y = unpack(x, rank), unpack(y, rank)
+            (xs, nx), (ys, ny) = unpack(t["ca"].tolist(), rank), unpack(t["cb"].tolist(), rank)
+            for i, (x, y) in enumerate(zip(np.split(xs, np.cumsum(nx)[:-1]), np.split(ys, np.cumsum(ny)[:-1]))):
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -387,28 +398,6 @@ def similar_pairs(rows: DataFrame, key: str, columns: list[str], threshold: floa
     return within.unionByName(across)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (a, b): the smallest node reached from it.
-
-    Alternating star operations: each round every node is tied to the smallest of its neighbours; rounds are parked in
-    the shared folder, and few are needed, as trees are flattened on the way.
-    """
-    e = park(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
-    while True:
-        # large star: larger neighbours go to the smallest neighbour
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: smaller neighbours and the node itself go to the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        then = park(small, "components")
-        if e.exceptAll(then).isEmpty() and then.exceptAll(e).isEmpty():
-            break
-        e = then
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def groups(rows: DataFrame, key: str, columns: list[str], threshold: float = 0.6) -> DataFrame:
     """One row per row of a group: ``key, class_id, copies, links``.
 
