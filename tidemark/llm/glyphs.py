@@ -100,18 +100,13 @@ def unify_segments(segments: DataFrame) -> DataFrame:
     digits_only_before_vs = ~(before.rlike(r"^[#*0-9]$") & (F.col("ch") != F.lit("\ufe0f")))
     points = points.select(*key, "pos", F.coalesce("ccc", F.lit(0)).alias("ccc"), F.when(keeps & F.coalesce(digits_only_before_vs, F.lit(True)), F.col("ch")).otherwise(F.coalesce("full", "ch")).alias("full"), "ch")
     # a replacement may hold several code points; each takes its own place and class
-    points = points.where("full <> ''").select(*key, (F.col("pos") * 32).alias("at"), "full", "ccc", "ch")
-    one, many = points.where("char_length(full) = 1"), points.where("char_length(full) > 1")
-    many = many.select(*key, "at", F.posexplode(F.expr("regexp_extract_all(full, '(?s).', 0)")).alias("i", "one"))
-    many = many.join(table.select(F.col("ch").alias("one"), F.col("ccc").alias("c")), "one", "left")
-    points = one.select(*key, "at", F.col("full").alias("ch"), F.when(F.col("full") == F.col("ch"), F.col("ccc")).otherwise(0).alias("ccc")).unionByName(
-        many.select(*key, (F.col("at") + F.col("i")).alias("at"), F.col("one").alias("ch"), F.coalesce("c", F.lit(0)).alias("ccc"))
-    )
+    points = points.where("full <> ''").select(*key, (F.col("pos") * 32).alias("at"), F.posexplode(F.expr("regexp_extract_all(full, '(?s).', 0)")).alias("i", "one"))
+    classes = table.select(F.col("ch").alias("one"), F.col("ccc").alias("c"))
+    points = points.join(classes, "one", "left").select(*key, (F.col("at") + F.col("i")).alias("at"), F.col("one").alias("ch"), F.coalesce("c", F.lit(0)).alias("ccc"))
     by_at = Window.partitionBy(*key).orderBy("at")
     points = points.withColumn("n", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(by_at))
     clusters = points.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct("ccc", "at", "ch"))).alias("c"))
-    clusters = clusters.select(*key, "n", F.array_join(F.col("c.ch"), "").alias("cluster"), (F.size("c") > 1).alias("marked"))
-    clusters = clusters.where("not marked").select(*key, "n", "cluster").unionByName(clusters.where("marked").select(*key, "n", _recompose("cluster").alias("cluster")))
+    clusters = clusters.select(*key, "n", _recompose(F.array_join(F.col("c.ch"), "")).alias("cluster"))
     clusters = clusters.join(alike, "cluster", "left")
     by_n = Window.partitionBy(*key).orderBy("n")
     is_word = F.col("cluster").rlike(r"^[\p{L}\p{M}]")
@@ -136,7 +131,7 @@ def unify_segments(segments: DataFrame) -> DataFrame:
 def _recompose(s: pd.Series) -> pd.Series:
     import unicodedata
 
-    return s.map(lambda x: unicodedata.normalize("NFC", x))
+    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x))
 
 
 _SPLIT = r"[^ \t\r\n]+|[ \t\r\n]+"
