@@ -56,3 +56,17 @@ def test_texts(spark):
     assert one(spark, T.category_of(F.lit("A new HTTP API and SDK"))) == "api"
     assert one(spark, T.dice(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")))) == 0.5
     assert one(spark, T.fact_clauses(F.lit("The planner sorts queries. New. Fast engine loads"))) == ["the planner sorts queries", "fast engine loads"]
+
+
+def test_ladders(spark):
+    from tidemark.functions import ladders as L
+
+    risks = spark.createDataFrame([("low", "long text", 1), ("high", "a", 2), ("HIGH", "ab", 3), ("high", "xy", 4), (None, "longest of all", 5)], "s string, d string, i int")
+    assert tuple(risks.agg(L.worst_risk(F.col("s"), F.col("d"), F.col("i")).alias("r")).first()["r"]) == ("HIGH", "ab")
+    assert one(spark, L.version_key(F.lit("v1.10.0")) > L.version_key(F.lit("1.9"))) is True
+    ref = lambda a, b: one(spark, L.reference_score(F.lit(a), F.lit(b)))
+    assert [ref("Alpha Tool", "alpha-tool"), ref("alpha", "Alpha Tool"), ref("big alpha tool", "alpha tool"), ref("a b c d e", "a b c d f"), ref("x", "y")] == [1.0, 0.96, 0.92, 0.9, 0.0]
+    assert [one(spark, L.backoff_hours(F.lit(n))) for n in (0, 1, 3, 9)] == [0.0, 1.0, 4.0, 24.0]
+    t = lambda s: F.lit(s).cast("timestamp")
+    ok = lambda s, n, at: one(spark, L.fetch_eligible(F.lit(s), F.lit(n), t(at), t("2026-01-01 10:00:00")))
+    assert ok("approved", 0, "2026-01-01 09:59:00") and ok("approved", 2, "2026-01-01 08:00:00") and not ok("approved", 3, "2026-01-01 08:00:00") and not ok("retired", 0, "2026-01-01 01:00:00")
