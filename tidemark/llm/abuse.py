@@ -63,7 +63,9 @@ def word_forms(token: str) -> list[str]:
     core = t.rstrip("!?.,;:")
     if re.search(r"[^\W\d_]", core) and re.search(r"[0-9@$!€+|]", core) and not re.search(r"[/\\:=]", core):
         plain = "".join(LEET.get(ch, ch) for ch in core)
-        t = plain if len(re.findall(r"[^\W\d_]", core)) >= 2 else core
+        # one letter is enough where every other sign of a longer word may stand for one
+        whole = len(core) >= 5 and all(ch in LEET or ch.isalpha() for ch in core)
+        t = plain if whole or len(re.findall(r"[^\W\d_]", core)) >= 2 else core
     for w in _WORD.findall(t):
         if w.isdigit():
             out.append("0")
