@@ -113,6 +113,58 @@ def test_storyline_lifecycle(spark):
     assert got == {1: ("origin", "developing"), 2: ("evolution", "stable"), 3: ("evolution", "stable"), 4: ("repetition", "stable"), 5: ("repetition", "archived")}
 
 
+def test_novel_facts(spark):
+    """Restated clauses are no news, however long ago they were told; two new clauses are, with few new words."""
+    x, y, z = "amber bridge carries drums. eager falcons guide herons", "island jackets keep lanterns. marble nickel opens portals", "quartz rivers settle timber. upper valleys weave yarn"
+    long = "one alpha bravo charlie delta echo. foxtrot golf hotel india juliet"
+    rows = [item(i + 1, "a", i + 1, summary=s) for i, s in enumerate([x, y, z, x])]
+    rows += [item(11, "b", 1, summary=long), item(12, "b", 2, summary="alpha golf charlie india. foxtrot bravo delta zulu")]
+    rows += [item(21, "c", 1, summary="alpha bravo charlie delta echo foxtrot golf"), item(22, "c", 2, summary="alpha bravo charlie delta echo whiskey yankee"), item(23, "c", 3, summary="alpha bravo charlie delta echo foxtrot golf zulu victor")]
+    got = {r["appearance_id"]: (r["facts"], r["decision"]) for r in storylines.decisions(frame(spark, rows)).collect()}
+    # 4: overlap with the latest is 0, but both clauses were told in 1; 12: two new clauses with 1 of 8 words new
+    assert got[3] == (2, "evolution") and got[4] == (0, "repetition")
+    assert got[12] == (2, "evolution")
+    # 22: 5 of 7 words, just under 0.72; 23: 7 of 9 words of a clause told two appearances ago
+    assert got[22] == (1, "evolution") and got[23] == (0, "repetition")
+
+
+def test_decisions_match_the_rules_row_by_row(spark):
+    import random
+    import re
+
+    from tidemark.functions import params as P
+
+    random.seed(11)
+    words = [f"word{chr(97 + i)}" for i in range(24)]
+    say = lambda: ". ".join(" ".join(random.sample(words, random.randint(1, 7))) for _ in range(random.randint(0, 4)))
+    rows, n = [], 0
+    for k in range(40):
+        told = []
+        for day in range(1, 9):
+            s = random.choice(told) if told and random.random() < 0.3 else say()
+            if told and random.random() < 0.4:
+                s = s + "; " + random.choice(told).split(".")[0]
+            told.append(s)
+            n += 1
+            rows.append(item(n, f"i{k}", day, summary=s))
+    material = lambda t: [w for w in dict.fromkeys(re.sub("[^a-z0-9]+", " ", t.lower()).split()) if len(w) > 2 and w not in P.STOP_WORDS and w not in P.UPDATE_WORDS and not w.isdigit()]
+    alike = lambda a, b: len(set(a) & set(b)) / max(len(a), len(b)) if a and b else 0.0
+    want, history = {}, {}
+    for r in rows:
+        facts = [material(c) for c in dict.fromkeys(re.sub("[^a-z0-9]+", " ", c.lower()).strip() for c in re.split(r"[.!?\n;:]+", r["summary"])) if len(material(c)) >= 2]
+        tokens, before = material(r["summary"]), history.setdefault(r["item_id"], [])
+        if not before:
+            want[r["appearance_id"]] = (len(facts), "origin")
+        else:
+            novel = sum(max((alike(f, g) for b in before for g in b[0]), default=0.0) < 0.72 for f in facts)
+            ratio, overlap = len(set(tokens) - {t for b in before for t in b[1]}) / len(tokens) if tokens else 0.0, alike(tokens, before[-1][1])
+            evolves = novel >= 1 and (ratio >= 0.18 or overlap <= 0.45) or novel >= 2 and ratio >= 0.09 and overlap <= 0.7 or novel == 0 and ratio >= 0.35 and overlap <= 0.55
+            want[r["appearance_id"]] = (novel, "evolution" if evolves else "repetition")
+        before.append((facts, tokens))
+    got = {r["appearance_id"]: (r["facts"], r["decision"]) for r in storylines.decisions(frame(spark, rows)).collect()}
+    assert got == want and {d for _, d in want.values()} == {"origin", "evolution", "repetition"}
+
+
 def test_edition_sinks(spark, tmp_path):
     path = str(tmp_path / "editions")
     first = frame(spark, [item(1, "a", 1), item(2, "b", 2)])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import params as P
 from tidemark.functions import text as T
 from tidemark.operators.editions import appearances
+from tidemark.plans.shared import park
 
 #: Fixed value: columns of a lifecycle step.
 STATE = "appearance_id bigint, item_id string, decision string, status string, evolutions bigint, repetitions bigint, streak bigint"
@@ -22,22 +23,48 @@ def storyline_ids(items: DataFrame) -> DataFrame:
     return items.select("appearance_id", F.concat(F.lit("storyline-"), T.category_group(F.col("category")), F.lit("-"), name).alias("storyline_id"))
 
 
+def _novel_facts(a: DataFrame) -> DataFrame:
+    """``appearance_id, facts``: the clauses that are not like any clause of an earlier appearance of the item.
+
+    Clauses with the same words are alike, so each set of words stands once, where it first appears. Two sets that are alike
+    share one of the first ``n - ceil(t n) + 1`` words of each in any common order; long words first, as they are rarer.
+    """
+    told = a.select("item_id", "published_at", "appearance_id", F.explode("clauses").alias("clause"))
+    words = F.transform(F.sort_array(F.transform(F.array_distinct(T.material_tokens(F.col("clause"))), lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))), asc=False), lambda x: x.t)
+    told = told.groupBy("item_id", "published_at", "appearance_id", words.alias("words")).agg(F.count(F.lit(1)).alias("n"))
+    sets = park(told.groupBy("item_id", "words").agg(F.min(F.struct("published_at", "appearance_id", "n")).alias("at")).select("item_id", "words", "at.*"), "storyline-facts")
+    n = F.size("words")
+    index = sets.select("item_id", "published_at", "appearance_id", "words", F.explode(F.slice("words", 1, n - F.ceil(n * P.FACT_SIMILARITY - 1e-9).cast("int") + 1)).alias("word"))
+    now, then = index.alias("now"), index.alias("then")
+    earlier = F.struct("then.published_at", "then.appearance_id") < F.struct("now.published_at", "now.appearance_id")
+    alike = F.size(F.array_intersect("now.words", "then.words")) / F.greatest(F.size("now.words"), F.size("then.words")) >= P.FACT_SIMILARITY
+    known = now.join(then, F.col("now.item_id").eqNullSafe(F.col("then.item_id")) & (F.col("now.word") == F.col("then.word")) & earlier & alike, "left_semi")
+    known = known.select("appearance_id", "words").distinct()
+    return sets.join(known, ["appearance_id", "words"], "left_anti").groupBy("appearance_id").agg(F.sum("n").alias("facts"))
+
+
 def decisions(items: DataFrame) -> DataFrame:
-    """Origin, evolution or repetition of each appearance against the one before.
+    """Origin, evolution or repetition of each appearance against those before.
 
-    Novelty is the share of material tokens that no earlier appearance had; overlap is measured against the latest.
+    Novelty is the share of material tokens that no earlier appearance had, facts the number of clauses unlike all earlier
+    ones; overlap is measured against the latest.
     """
     w = Window.partitionBy("item_id").orderBy("published_at", "appearance_id")
-    a = appearances(items).select("appearance_id", "item_id", "published_at", F.array_distinct(T.material_tokens(F.col("summary"))).alias("tokens"), F.size(T.fact_clauses(F.col("summary"))).alias("clauses"))
+    a = appearances(items).select("appearance_id", "item_id", "published_at", F.array_distinct(T.material_tokens(F.col("summary"))).alias("tokens"), T.fact_clauses(F.col("summary")).alias("clauses"))
+    a = park(a, "storyline-appearances")
     # the first appearance of each token of an item: what is new is what begins here
     begins = a.select("item_id", "appearance_id", "published_at", F.explode("tokens").alias("token")).groupBy("item_id", "token").agg(F.min_by("appearance_id", F.struct("published_at", "appearance_id")).alias("appearance_id"))
     new = begins.groupBy("appearance_id").agg(F.count(F.lit(1)).alias("new"))
-    a = a.withColumn("before", F.lag("tokens").over(w)).join(new, "appearance_id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    a = a.drop("clauses").withColumn("before", F.lag("tokens").over(w)).join(new, "appearance_id", "left").join(_novel_facts(a), "appearance_id", "left")
+    a = a.withColumns({"new": F.coalesce("new", F.lit(0)), "facts": F.coalesce("facts", F.lit(0))})
     ratio = F.when(F.size("tokens") > 0, F.col("new") / F.size("tokens")).otherwise(0.0)
     overlap = F.when(F.greatest(F.size("tokens"), F.size("before")) > 0, F.size(F.array_intersect("tokens", "before")) / F.greatest(F.size("tokens"), F.size("before"))).otherwise(0.0)
-    evolves = ((ratio >= 0.18) | (overlap <= 0.45)) & (F.col("clauses") >= 1) | (ratio >= 0.35) & (overlap <= 0.55)
+    evolves = (
+        (F.col("facts") >= 1) & ((ratio >= 0.18) | (overlap <= 0.45)) | (F.col("facts") >= 2) & (ratio >= 0.09) & (overlap <= 0.7)
+        | (F.col("facts") == 0) & (ratio >= 0.35) & (overlap <= 0.55)
+    )
     d = F.when(F.col("before").isNull(), "origin").when(evolves, "evolution").otherwise("repetition")
-    return a.select("appearance_id", "item_id", "published_at", F.round(ratio, 3).alias("novelty"), F.round(overlap, 3).alias("overlap"), d.alias("decision"))
+    return a.select("appearance_id", "item_id", "published_at", F.round(ratio, 3).alias("novelty"), F.round(overlap, 3).alias("overlap"), "facts", d.alias("decision"))
 
 
 def _step(state: dict, decision: str, at: pd.Timestamp) -> None:
