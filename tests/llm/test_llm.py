@@ -167,6 +167,21 @@ def test_linkage(spark):
     assert linkage.found(p.limit(0), g).count() == 0 and linkage.found(p, g.limit(0)).count() == 0
 
 
+def test_linkage_by_what_many_share(spark):
+    """A name or a site that 25 repositories share is weighed, not left out."""
+    papers = [(1, "2601.00001", "AlphaTool: fast", []), (2, "2601.00002", "Betastones: x", ["https://hub.example/paper"]), (3, "2601.00003", "Betastones: y", []), (4, "2601.00004", "Other words", ["https://hub.example/paper"])]
+    p = spark.createDataFrame([(a, b, None, c, d) for a, b, c, d in papers], "paper_id bigint, external_id string, source_url string, title string, outbound_urls array<string>")
+    repos = [(f"own{i}/alpha-tool", [f"https://site{i}.example"] if i else [], None) for i in range(25)]  # all but one have a site of another name
+    repos += [(f"many/thing{i:02d}x{'abcdefghijklmnopqrstuvwxyz'[i] * 3}", ["https://hub.example"], None) for i in range(24)] + [("x/beta-stone", ["https://hub.example"], None)]
+    repos += [(f"rest/plain{i:03d}", [], None) for i in range(400)]
+    g = spark.createDataFrame(repos, "external_id string, outbound_urls array<string>, homepage string")
+    assert rows_of(linkage.found(p, g)) == [(1, "own0/alpha-tool"), (2, "x/beta-stone")]
+    # names without sites: 21 bearers are as good as 20
+    for n in (20, 21):
+        g = spark.createDataFrame([(f"own{i}/alpha-tool", [], None) for i in range(n)], "external_id string, outbound_urls array<string>, homepage string")
+        assert linkage.found(p, g).count() == n
+
+
 # ---- 5
 
 OLD = "appearance_id bigint, edition_id string, published_at timestamp_ntz, item_id string, item_name string, summary string, first_seen timestamp_ntz"

@@ -1,8 +1,8 @@
 """Match papers and repositories that present the same project, without a common key.
 
 Candidates share an attribute: a name in the title, a link to the repository, a
-site, or a link back to the paper. Candidates that share only what many share
-are pruned (meta-blocking by rarity), the rest are scored, and scores are passed
+site, or a link back to the paper. Candidates that could
+not reach a match whatever else they share are pruned (meta-blocking), the rest are scored, and scores are passed
 between neighbours - other versions of the paper, other repositories that
 compete for it - until they no longer move.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.survivorship import repository_key
 from tidemark.plans.shared import park
 
-#: An attribute that more repositories than this share tells nothing about one project: it has no weight.
+#: A site that more repositories than this share is nobody's own: it speaks against no match, and for one the less the more share it.
 HUB = 20
 #: Weights of the evidence on the log-odds scale.
 BIAS, NAME, NAME_NEARLY, SITE, LINK, BACK = -4.0, 5.0, 3.0, 4.0, 2.0, 3.5
@@ -52,6 +52,12 @@ def _label(s: Column) -> Column:
     return F.when(s.contains("/"), _compact(F.substring_index(s, "/", -1))).when(F.size(F.split(s, r"\.")) == 2, _compact(F.substring_index(s, ".", 1))).otherwise("")
 
 
+def _variants(names: Column) -> Column:
+    """The names and, of those with six letters or more, what is left without one letter: names one edit apart share a variant."""
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    return F.array_distinct(F.flatten(F.transform(names, lambda x: F.when(F.length(x) >= 6, F.concat(F.array(x), cut(x))).otherwise(F.array(x)))))
+
+
 def _all(urls: Column, f) -> Column:
     return F.array_compact(F.array_distinct(F.transform(F.coalesce(urls, F.array().cast("array<string>")), f)))
 
@@ -101,17 +107,35 @@ def link(arxiv_records: DataFrame, github_records: DataFrame, hub: int = HUB, to
     """
     p = park(papers(arxiv_records), "linkage-papers")
     r = park(repositories(github_records), "linkage-repositories")
+    none = F.array().cast("array<string>")
+    repository_count = r.count()
     site_count = r.select(F.explode("sites").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    hubs = park(site_count.where(F.col("n") > hub).select("s"), "linkage-hubs")
+    # 1 at the number from which a site is nobody's own, 0 if all repositories share it
+    rarity = F.log((1.0 + repository_count) / (1.0 + F.col("n"))) / max(math.log((1.0 + repository_count) / (1.0 + hub)), 1e-9)
+    hubs = park(site_count.where(F.col("n") > hub).select("s", rarity.alias("weight")), "linkage-hubs")
     p_sites = p.select("paper_id", F.explode("sites").alias("s")).join(hubs, "s", "left_anti")
     r_sites = r.select("entity_key", F.explode("sites").alias("s")).join(hubs, "s", "left_anti")
-    names = r.where("length(name) >= 5").select("entity_key", "name")
-    rare = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub).select("name")
-    names = names.join(rare, "name", "left_semi")
+    own = p_sites.groupBy("paper_id").agg(F.collect_set("s").alias("own"))
+    told = r_sites.groupBy("entity_key").agg(F.collect_set("s").alias("sites"))
+    p_hubs = p.select("paper_id", F.explode("sites").alias("s")).join(hubs, "s")
     links = p.select("paper_id", F.explode("links").alias("entity_key"))
     link_count = links.groupBy("entity_key").agg(F.count(F.lit(1)).alias("cited"))
+    labelled = lambda sites: F.filter(F.transform(F.coalesce(sites, none), _label), lambda x: F.length(x) >= 3)
+    fits = lambda x: F.startswith(F.col("name"), x)
+    # However many bear a name, all are candidates but those that a name alone cannot make a match: repositories whose own
+    # site is named otherwise, and papers in a single version whose own sites all are. Tied in another way, they come in by that.
+    named = r.where("length(name) >= 5").select("entity_key", "name").join(told, "entity_key", "left")
+    named = named.where((F.size(labelled(F.col("sites"))) == 0) | F.exists(labelled(F.col("sites")), fits)).select("entity_key", "name")
+    single = p.groupBy("base").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("base", F.lit(True).alias("single"))
+    naming = p.select("paper_id", "base", "names").join(single, "base", "left").join(own, "paper_id", "left").withColumn("name", F.explode("names")).where("length(name) >= 5")
+    naming = naming.where(F.col("single").isNull() | (F.size(F.coalesce("own", none)) == 0) | F.exists(labelled(F.col("own")), fits)).select("paper_id", "name")
+    # A site of many makes a match only with a name at most one edit apart.
+    p_near = p_hubs.select("paper_id", "s").join(p.select("paper_id", "names"), "paper_id").withColumn("variant", F.explode(_variants(F.col("names"))))
+    r_near = r.select("entity_key", "name", F.explode("sites").alias("s")).join(hubs.select("s"), "s", "left_semi").withColumn("variant", F.explode(_variants(F.array("name"))))
+    near = p_near.join(r_near, ["s", "variant"]).where(F.exists("names", lambda x: F.levenshtein(x, F.col("name"), 1) >= 0)).select("paper_id", "entity_key")
     pairs = (
-        p.select("paper_id", F.explode("names").alias("name")).where("length(name) >= 5").join(names, "name").select("paper_id", "entity_key")
+        naming.join(named, "name").select("paper_id", "entity_key")
+        .unionByName(near)
         .unionByName(links)
         .unionByName(p_sites.join(r_sites, "s").select("paper_id", "entity_key"))
         .unionByName(p.select("paper_id", "base").join(r.select("entity_key", F.explode("back").alias("base")), "base").select("paper_id", "entity_key"))
@@ -120,29 +144,29 @@ def link(arxiv_records: DataFrame, github_records: DataFrame, hub: int = HUB, to
     # what one version of a paper may match, its other versions may
     bases = p.select("paper_id", "base")
     pairs = pairs.join(bases, "paper_id").select("base", "entity_key").distinct().join(bases, "base").select("paper_id", "entity_key")
-    own = p_sites.groupBy("paper_id").agg(F.collect_set("s").alias("own"))
-    told = r_sites.groupBy("entity_key").agg(F.collect_set("s").alias("sites"))
+    widely = p_hubs.groupBy("paper_id").agg(F.collect_set(F.struct("s", "weight")).alias("hubs"))
     total = p.count() or 1
-    c = pairs.join(p.drop("sites"), "paper_id").join(own, "paper_id", "left").join(r.drop("sites"), "entity_key").join(told, "entity_key", "left").join(link_count, "entity_key", "left")
-    none = F.array().cast("array<string>")
+    c = pairs.join(p.drop("sites"), "paper_id").join(own, "paper_id", "left").join(widely, "paper_id", "left").join(r.withColumnRenamed("sites", "every"), "entity_key").join(told, "entity_key", "left").join(link_count, "entity_key", "left")
     c = c.withColumn("own", F.coalesce("own", none)).withColumn("sites", F.coalesce("sites", none))
-    labels = F.filter(F.transform("sites", _label), lambda x: F.length(x) >= 3)
-    fits = lambda x: F.startswith(F.col("name"), x)
+    labels = labelled(F.col("sites"))
+    shared = F.coalesce(F.array_max(F.transform(F.filter("hubs", lambda h: F.array_contains("every", h.s)), lambda h: h.weight)), F.lit(0.0))
     nearly = F.exists("names", lambda x: (F.length(x) >= 6) & (F.levenshtein(x, F.col("name"), 1) >= 0))
     c = c.select(
         "paper_id", "base", "entity_key", "name",
         F.when(F.array_contains("names", F.col("name")), 1.0).when((F.length("name") >= 6) & nearly, NAME_NEARLY / NAME).otherwise(0.0).alias("by_name"),
         F.array_contains("links", F.col("entity_key")).alias("by_link"),
-        F.arrays_overlap("own", "sites").alias("by_site"),
+        (F.arrays_overlap("own", "sites") | (shared > 0)).alias("by_site"),
+        F.arrays_overlap("own", "sites").alias("by_own_site"),
+        F.when(F.arrays_overlap("own", "sites"), 1.0).otherwise(shared).alias("site_weight"),
         F.array_contains("back", F.col("base")).alias("back"),
         ((F.size("own") > 0) & ~F.arrays_overlap("own", "sites") & ~F.exists(F.transform("own", _label), lambda x: (F.length(x) >= 3) & fits(x))).alias("elsewhere"),
         ((F.size(labels) > 0) & ~F.exists(labels, fits)).alias("odd"),
         (F.log(F.lit(1.0 + total) / (1.0 + F.coalesce("cited", F.lit(0)))) / math.log(1.0 + total)).alias("rarity"),
     )
     yes = lambda x: F.when(F.coalesce(x, F.lit(False)), 1.0).otherwise(0.0)
-    tied = F.coalesce(F.col("by_link") | F.col("back") | F.col("by_site"), F.lit(False))
+    tied = F.coalesce(F.col("by_link") | F.col("back") | F.col("by_own_site"), F.lit(False))
     score = (
-        F.lit(BIAS) + NAME * F.col("by_name") + SITE * yes(F.col("by_site")) + LINK * F.col("rarity") * yes(F.col("by_link")) + BACK * yes(F.col("back"))
+        F.lit(BIAS) + NAME * F.col("by_name") + SITE * F.col("site_weight") + LINK * F.col("rarity") * yes(F.col("by_link")) + BACK * yes(F.col("back"))
         + ELSEWHERE * yes(F.col("elsewhere") & ~(F.col("by_link") | F.col("back"))) + ODD_OWNER * yes(F.col("odd") & ~tied)
     )
     c = c.withColumn("score", score)
