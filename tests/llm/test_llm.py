@@ -219,6 +219,19 @@ def test_history(spark):
     assert rows_of(history.found(old, new.limit(0))) == []
 
 
+def test_history_opened_again(spark):
+    """A history opened by its path finds the repeats that it would have found before."""
+    day = lambda d: dt.datetime(2026, 1, d)
+    text = "the planner sorts many queries before the engine loads"
+    old = spark.createDataFrame([(10, "2026-01-02", day(2), "artifact-alpha", "Alpha", text, day(1)), (11, "2026-01-03", day(3), "artifact-alpha", "Alpha", text + " twice", day(1))], OLD)
+    new = spark.createDataFrame([(1, 1, day(5), None, "Alpha", text + " now", None), (2, 1, day(5), None, "Beta", "nothing alike stands here", None)], NEW)
+    h = history.History.of(history.published(old))
+    again = history.History(spark, path=h.path)
+    assert h.frequent and again.frequent == h.frequent
+    for x in (h, again):
+        assert [(r["id"], r["item_id"]) for r in x.match(history.arriving(new)).where("not is_new").collect()] == [(1, "artifact-alpha")]
+
+
 # ---- 6
 
 

@@ -27,12 +27,13 @@ def id_key(c: Column) -> Column:
 
 
 class History:
-    """Accepted rows in the shared folder: tables ``lists``, ``sets``, ``rows`` and ``items``, each grown by appending."""
+    """Accepted rows in the shared folder: tables ``lists``, ``sets`` and ``rows`` grown by appending, ``items`` written anew, ``frequent`` kept as it began."""
 
     def __init__(self, spark: SparkSession, threshold: float = 0.6, path: str | None = None) -> None:
         self.spark, self.threshold = spark, threshold
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.frequent: list[str] = []
+        # a history that is opened again goes on with the codes of its stored sets
+        self.frequent: list[str] = [r["word"] for r in self.table("frequent").orderBy("rank").collect()] if path else []
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -50,6 +51,7 @@ class History:
         rows = rows.where("seq is not null").withColumn("key", id_key(F.col("item_id")))
         texts = setjoin.readable(rows, "seq", ["name", "summary"], "history-texts")
         h.frequent = setjoin.frequent_words(texts)
+        h._add("frequent", h.spark.createDataFrame(list(enumerate(h.frequent)), "rank int, word string"))
         encoded = park(setjoin.encode(texts, h.frequent), "history-codes")
         h._add_sets(setjoin.classes(encoded))
         item_key = F.coalesce("key", F.concat(F.lit("#"), F.col("seq")))
@@ -86,7 +88,9 @@ class History:
         encoded = park(setjoin.encode(texts, self.frequent), "history-codes")
         reps = park(setjoin.classes(encoded), "history-classes")
         self._pending = reps
-        lists = self.table("lists").unionByName(setjoin.entries(reps, self.frequent, self.threshold, new=True))
+        fresh = park(setjoin.entries(reps, self.frequent, self.threshold, new=True), "history-entries")
+        # only lists of the batch's words can give a pair with a new entry
+        lists = self.table("lists").join(fresh.select("word").distinct(), "word", "left_semi").unionByName(fresh)
         sets = self.table("sets").unionByName(reps.select("rep", "codes"))
         pairs = setjoin.verify(setjoin.candidates(lists, self.threshold, only_new=True), sets, self.frequent, self.threshold)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
