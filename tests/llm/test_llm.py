@@ -114,19 +114,19 @@ def sets(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.6, 1 << 16), (0.8, 1 << 16), (0.6, 40)])
-def test_similar_pairs_against_brute_force(spark, threshold, block):
+@pytest.mark.parametrize(("threshold", "block", "split"), [(0.6, 1 << 16, 256), (0.8, 1 << 16, 8), (0.6, 40, 4), (0.3, 1 << 16, 4)])
+def test_similar_pairs_against_brute_force(spark, threshold, block, split):
     data = sets(500, 3)
     df = spark.createDataFrame([(i, " ".join(w), None) for i, w in enumerate(data)], "record_id bigint, title string, summary string")
     s = [set(w) for w in data]
     want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i] and s[j] and len(s[i] & s[j]) >= threshold * len(s[i] | s[j]) - 1e-9}
-    j = setjoin.Join(df, "record_id", ["title", "summary"], threshold, block=block)
+    j = setjoin.Join(df, "record_id", ["title", "summary"], threshold, block=block, split=split)
     rep = {r["id"]: r["rep"] for r in j.members.collect()}
     near = {(r["a"], r["b"]) for r in j.pairs.collect()}
     got = {(a, b) for a in rep for b in rep if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in near)}
     assert got == want
     if block > 1000:
-        assert set(map(tuple, setjoin.similar_pairs(df, "record_id", ["title", "summary"], threshold).collect())) == want
+        assert set(map(tuple, setjoin.similar_pairs(df, "record_id", ["title", "summary"], threshold, part=3).collect())) == want
 
 
 def test_similar_pairs_of_odd_rows(spark):

@@ -2,10 +2,14 @@
 
 T-occurrence search in the manner of DivideSkip, over a whole collection at
 once. The words of a set are ordered from rare to frequent. A pair that reaches
-the required overlap T shares one of the first words of each set, so only those
-lists - the short ones - are merged: per word, the sets that have it are
-compared by bit-difference sketches, blockwise and ordered by size. What is left
-is probed for the remaining, long lists by binary search until T is reached.
+the required overlap T has T words in common, so two of them stand among the
+first ``n - T + 2`` of each set: those lists - the short ones - are merged, and
+a pair is a candidate when it occurs in two of them. Merging is done word by
+word: a list keeps with each set the words that follow, and a list that is not
+short enough to be compared as it stands is merged with the lists of those
+words, which leaves the sets that occur in both. What occurs often enough is
+held against a bit-difference sketch, and the words that were not merged - the
+long lists - are probed by binary search until T is reached or out of reach.
 
 Sets that are equal are one class and joined once.
 """
@@ -34,12 +38,15 @@ _WORD = re.compile(r"[^\W_]+")
 #: A word of at least this part of all sets counts as frequent. At most (mean words of a set) / FREQUENT words can, so the list that is broadcast is bounded whatever the size of the data.
 FREQUENT = 1e-4
 #: 64-bit words of a sketch.
-SKETCH = 3
+SKETCH = 2
 #: Sets of one word that are compared in one place; longer lists are cut into blocks and every two blocks meet.
 BLOCK = 1 << 16
+#: From so many sets on a list is merged with the lists of the words that follow; changes the cost, not the result.
+SPLIT = 256
 
 ENTRY = np.dtype([("id", "<i8"), ("s", "<u8", (SKETCH,)), ("n", "<u4"), ("pos", "<u4")])
 NEW = np.uint32(1 << 31)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def text_of(*columns: str) -> Column:
@@ -156,8 +163,23 @@ def classes(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("codes").alias("codes"))
 
 
+def merged(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many first words of sets of ``n`` words hold the first, and how many the second word that is shared with any similar set."""
+    first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    return first, np.minimum(n, first + 1)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The positions ``start .. start + length - 1`` of each range, one range after the other."""
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
 def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool = False) -> DataFrame:
-    """The short lists, in pieces: ``word, list`` with the entries of the sets that have the word among their first."""
+    """The short lists, in pieces: ``word, list, tail`` with the entries of the sets that have the word among their first.
+
+    ``tail`` holds for each entry the words after this one that take part in the merge, hashed to 16 bits: words with
+    one hash are merged as one, which adds candidates and loses none.
+    """
     rank = _rank(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,170 +188,164 @@ def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool =
             if not len(n):
                 continue
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            bit = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(64 * SKETCH)
+            mixed = flat.view(np.uint64) * _GOLDEN
+            bit, code = (mixed >> np.uint64(40)) % np.uint64(64 * SKETCH), (mixed >> np.uint64(48)).astype("<u2")
             one = np.uint64(1) << (bit & np.uint64(63))
             sketch = np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), start) for w in range(SKETCH)], axis=1)
-            first = n - np.ceil(threshold * n - 1e-9).astype(int) + 1
+            first, second = merged(n, threshold)
             row = np.repeat(np.arange(len(n)), first)
-            pos = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(first)[:-1]]), first)
+            pos = _ranges(np.zeros(len(n), np.int64), first)
             word = flat[start[row] + pos]
             e = np.empty(len(row), ENTRY)
             e["id"], e["s"], e["n"], e["pos"] = b["rep"].to_numpy()[row], sketch[row], n[row], pos
             if new:
                 e["n"] |= NEW
             order = np.argsort(word, kind="stable")
-            word, e = word[order], e[order]
+            word, e, row, pos = word[order], e[order], row[order], pos[order]
+            length = second[row] - pos - 1
+            tail = code[_ranges(start[row] + pos + 1, length)]
             cut = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1, [len(word)]])
-            yield pd.DataFrame({"word": word[cut[:-1]], "list": [e[i:j].tobytes() for i, j in zip(cut, cut[1:])]})
-
-    return reps.select("rep", "codes").mapInPandas(run, "word bigint, list binary")
-
+            at = np.concatenate([[0], np.cumsum(length)])[cut]
+            yield pd.DataFrame({"word": word[cut[:-1]], "list": [e[i:j].tobytes() for i, j in zip(cut, cut[1:])], "tail": [tail[i:j].tobytes() for i, j in zip(at, at[1:])]})
 
-def _near(s: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    d = np.bitwise_count(s[0, u] ^ s[0, v]).astype(np.int16)
-    for w in range(1, SKETCH):
-        d += np.bitwise_count(s[w, u] ^ s[w, v])
-    return d
+    return reps.select("rep", "codes").mapInPandas(run, "word bigint, list binary, tail binary")
 
 
 class Comparer:
-    """Compares the entries of one word after another; short lists are put off and compared many at once."""
+    """Merges and compares the lists of one word after another; what is to be compared is gathered and swept through together."""
 
-    SMALL, ROWS, COLUMNS = 32, 64, 2048
+    ITEMS = 1 << 16
 
-    def __init__(self, threshold: float, only_new: bool) -> None:
-        self.threshold, self.only_new = threshold, only_new
+    def __init__(self, threshold: float, only_new: bool, split: int = SPLIT) -> None:
+        self.threshold, self.only_new, self.split = threshold, only_new, split
         self.a_sum, self.a_diff = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
         self.out: list[np.ndarray] = []
-        self.waiting: dict[int, list[np.ndarray]] = {}
-        size = self.ROWS * self.COLUMNS
-        self.bits, self.one, self.two, self.hit = np.empty(size, np.uint64), np.empty(size, np.uint8), np.empty(size, np.uint8), np.empty(size, bool)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.items = 0
 
-    def add(self, e: np.ndarray) -> None:
-        if len(e) < 2:
+    def add(self, e: np.ndarray, tail: np.ndarray) -> None:
+        """The entries of a word with their tails. Pairs of a long list share a second word, but for sets so small that one is enough."""
+        if len(e) < 2 or self.only_new and not (e["n"] & NEW).any():
             return
-        if len(e) <= self.SMALL:
-            same = self.waiting.setdefault(len(e), [])
-            same.append(e)
-            if len(same) * len(e) ** 2 > 1 << 18:
-                self._small(len(e))
-        else:
-            self._large(e)
+        n, pos = (e["n"] & ~NEW).astype(np.int64), e["pos"].astype(np.int64)
+        every = np.arange(len(e))
+        if len(e) <= self.split:
+            self._put(e, every, np.array([len(e)]), n - pos)
+            return
+        tiny = every[np.ceil(self.threshold * n - 1e-9) < 2]
+        if len(tiny) > 1:
+            self._put(e, tiny, np.array([len(tiny)]), (n - pos)[tiny])
+        length = merged(n, self.threshold)[1] - pos - 1
+        row = np.repeat(every, length)
+        left = n[row] - _ranges(pos + 1, length) + 1  # the two that are shared and all words after the second
+        order = np.argsort(tail, kind="stable")
+        code, row, left = tail[order], row[order], left[order]
+        cut = np.concatenate([[0], np.nonzero(code[1:] != code[:-1])[0] + 1]) if len(code) else np.empty(0, np.int64)
+        size = np.diff(np.concatenate([cut, [len(code)]]))
+        keep = size > 1
+        if self.only_new and len(cut):
+            keep &= np.bitwise_or.reduceat(e["n"][row] & NEW, cut) > 0
+        some = np.repeat(keep, size)
+        self._put(e, row[some], size[keep], left[some])
+
+    def _put(self, e: np.ndarray, at: np.ndarray, sizes: np.ndarray, left: np.ndarray) -> None:
+        if len(at):
+            self.waiting.append((e["id"][at], e["s"][:, 0][at], e["s"][:, 1][at], e["n"][at], left, sizes))
+            self.items += len(at)
+            if self.items >= self.ITEMS:
+                self.flush()
 
     def flush(self) -> None:
-        for m in list(self.waiting):
-            self._small(m)
-
-    def _emit(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-
-    def _small(self, m: int) -> None:
-        e = np.stack(self.waiting.pop(m))
-        i, j = np.triu_indices(m, 1)
-        x, y = e[:, i], e[:, j]
-        n, k = (x["n"] & ~NEW).astype(np.int64), (y["n"] & ~NEW).astype(np.int64)
-        ok = np.bitwise_count(x["s"] ^ y["s"]).sum(2, dtype=np.int64) <= self.a_diff * (n + k) + 1e-9
-        ok &= np.minimum(n, k) >= self.threshold * np.maximum(n, k) - 1e-9
-        ok &= x["id"] != y["id"]
-        if self.only_new:
-            ok &= ((x["n"] | y["n"]) & NEW) > 0
-        if ok.any():
-            self._emit(x["id"][ok], y["id"][ok])
-
-    def _large(self, e: np.ndarray) -> None:
-        fresh = (e["n"] & NEW) > 0
-        n = (e["n"] & ~NEW).astype(np.int64)
-        order = np.lexsort((e["id"], n))
-        e, n, fresh = e[order], n[order], fresh[order]
-        ids, s = e["id"], np.ascontiguousarray(e["s"].T)
-        left = n - e["pos"]  # words from here on: the most that this word's list may still find
-        most = np.floor(left / self.a_sum - n + 1e-9).astype(np.int64)  # largest partner that so much overlap suffices for
-        index = left >= np.ceil(2 * self.a_sum * n - 1e-9)  # may be the smaller set of a pair
-        every = np.arange(len(e))
-        if not self.only_new:
-            self._meet(every[index], every, ids, s, n, most)
-        elif fresh.any():
-            self._meet(every[index & fresh], every, ids, s, n, most)
-            self._meet(every[index & ~fresh], every[fresh], ids, s, n, most)
-
-    def _meet(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, s: np.ndarray, n: np.ndarray, most: np.ndarray) -> None:
-        """``x`` as smaller, ``y`` as larger sets; both in order of size.
-
-        Both are cut into bands by the largest partner that their place in the list allows, so that each block of ``y``
-        meets one range of sizes of each band of ``x``.
-        """
-        reach = most / n
-        # bands cost a call each, so short lists have fewer
-        edges = (1.0, 1.12, 1.25, 1.4, math.inf) if len(x) > 5000 else (1.0, 1.18, math.inf) if len(x) > 1200 else (1.0, math.inf)
-        bands = [(x[(reach[x] >= lo) & (reach[x] < hi)], hi) for lo, hi in zip(edges, edges[1:])]
-        bands = [(part, n[part], s[:, part], hi) for part, hi in bands if len(part)]
-        for lo, hi in ((1.0, math.inf), (0.9, 1.0), (0.8, 0.9), (0.7, 0.8), (0.0, 0.7)):
-            larger = y[(reach[y] >= lo) & (reach[y] < hi)]
-            for i in range(0, len(larger), self.ROWS):
-                p = larger[i : i + self.ROWS]
-                low, top, ys = int(n[p[0]]), int(n[p[-1]]), s[:, p][:, :, None]
-                allowed = min(top, int(most[p].max()))
-                for part, nx, xs, far in bands:
-                    # far is exclusive and sizes are whole, so a size below low / far cannot reach
-                    a = int(np.searchsorted(nx, max(math.ceil(self.threshold * low - 1e-9), math.floor(low / far)), "left"))
-                    z = int(np.searchsorted(nx, allowed, "right"))
-                    for j in range(a, z, self.COLUMNS):
-                        self._block(p, part, ys, xs, nx, j, min(z, j + self.COLUMNS), top, ids, s, n)
-
-    def _block(self, p: np.ndarray, x: np.ndarray, ys: np.ndarray, xs: np.ndarray, nx: np.ndarray, j: int, k: int, top: int, ids: np.ndarray, s: np.ndarray, n: np.ndarray) -> None:
-        shape, size = (len(p), k - j), len(p) * (k - j)
-        bits, one, two = self.bits[:size].reshape(shape), self.one[:size].reshape(shape), self.two[:size].reshape(shape)
-        np.bitwise_xor(xs[0, None, j:k], ys[0], out=bits)
-        np.bitwise_count(bits, out=one)
-        for w in range(1, SKETCH):
-            np.bitwise_xor(xs[w, None, j:k], ys[w], out=bits)
-            np.bitwise_count(bits, out=two)
-            np.add(one, two, out=one)
-        pad = -(-size // 8) * 8
-        self.hit[size:pad] = False
-        np.less_equal(self.one[:size], min(255, int(self.a_diff * (top + nx[k - 1]) + 1e-9)), out=self.hit[:size])
-        eights = np.flatnonzero(self.hit[:pad].view(np.uint64))
-        if not len(eights):
+        """Compare all that waits: groups in order of size, each item with the one ``d`` places further for every ``d``."""
+        if not self.waiting:
             return
-        at = (eights[:, None] * 8 + np.arange(8)).ravel()
-        at = at[self.hit[at]]
-        u, v = p[at // (k - j)], x[j + at % (k - j)]
-        ok = (_near(s, u, v) <= self.a_diff * (n[u] + n[v]) + 1e-9) & (ids[u] != ids[v])
+        *columns, sizes = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.items = [], 0
+        start = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        # groups that together have about ITEMS items at once; a larger group alone
+        batch = (np.cumsum(sizes[order]) - sizes[order]) // self.ITEMS
+        for group in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            at = _ranges(start[group], sizes[group])
+            self._sweep(*(c[at] for c in columns), sizes[group])
+
+    def _sweep(self, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray, left: np.ndarray, sizes: np.ndarray) -> None:
+        fresh, n = (n & NEW) > 0, (n & ~NEW).astype(np.int64)
+        # half of what a pair may differ in, up to what a sketch can show
+        q = np.minimum(32 * SKETCH, np.ceil(self.a_diff * n)).astype(np.uint8)
+        end = np.cumsum(sizes)
+        last = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "left")  # groups with more than d items
+        total = len(ids)
+        bits, one, two, bound = np.empty(total, np.uint64), np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.uint8)
+        hit = np.empty(-(-total // 8) * 8, bool)
+        found = []
+        for d in range(1, int(sizes[0])):
+            m = int(end[last[d - 1] - 1]) - d
+            x, c1, c2, b = bits[:m], one[:m], two[:m], bound[:m]
+            np.bitwise_xor(s0[:m], s0[d : d + m], out=x)
+            np.bitwise_count(x, out=c1)
+            np.bitwise_xor(s1[:m], s1[d : d + m], out=x)
+            np.bitwise_count(x, out=c2)
+            np.add(c1, c2, out=c1)
+            np.add(q[:m], q[d : d + m], out=b)
+            pad = -(-m // 8) * 8
+            hit[m:pad] = False
+            np.less_equal(c1, b, out=hit[:m])
+            eights = np.flatnonzero(hit[:pad].view(np.uint64))
+            if len(eights):
+                u = (eights[:, None] * 8 + np.arange(8)).ravel()
+                u = u[hit[u]]
+                found.append(np.stack([u, u + d]))
+                if len(found) > 64:
+                    self._check(np.concatenate(found, axis=1), ids, s0, s1, n, left, fresh)
+                    found = []
+        if found:
+            self._check(np.concatenate(found, axis=1), ids, s0, s1, n, left, fresh)
+
+    def _check(self, uv: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray, left: np.ndarray, fresh: np.ndarray) -> None:
+        u, v = uv
+        x, y = n[u], n[v]
+        ok = np.bitwise_count(s0[u] ^ s0[v]).astype(np.int64) + np.bitwise_count(s1[u] ^ s1[v]) <= self.a_diff * (x + y) + 1e-9
+        ok &= (np.minimum(x, y) >= self.threshold * np.maximum(x, y) - 1e-9) & (ids[u] != ids[v])
+        ok &= np.minimum(left[u], left[v]) >= np.ceil(self.a_sum * (x + y) - 1e-9)
+        if self.only_new:
+            ok &= fresh[u] | fresh[v]
         if ok.any():
-            self._emit(ids[u[ok]], ids[v[ok]])
+            a, b = ids[u[ok]], ids[v[ok]]
+            self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
 
 
-def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block: int = BLOCK) -> DataFrame:
-    """``a, b`` (ids, a < b) of all pairs that share a word of the short lists and whose sketches allow the threshold.
+def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
+    """``a, b`` (ids, a < b) of all pairs that occur in enough short lists and whose sketches allow the threshold.
 
     A list of more than ``block`` entries is cut, and every two blocks meet in a cell of their own, in tasks of their
     own; so no task holds more than two blocks of a word.
     """
-    per_piece = F.length("list") / F.lit(ENTRY.itemsize)
-    pieces = lists.withColumn("size", per_piece)
+    pieces = lists.withColumn("size", F.length("list") / F.lit(ENTRY.itemsize))
     size = pieces.groupBy("word").agg(F.sum("size").alias("total")).where(F.col("total") > block)
-    long = F.broadcast(size.withColumn("k", F.ceil(F.col("total") / block).cast("int")))  # at most all entries / block words
+    long = size.select("word", F.ceil(F.col("total") / block).cast("int").alias("k"))
     cells = pieces.join(long, "word", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     cells = cells.withColumn("part", F.pmod(F.xxhash64("list"), F.col("k")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("word", (F.least("part", "other") * F.col("k") + F.greatest("part", "other")).alias("cell"), "list")
+    cells = cells.select("word", (F.least("part", "other") * F.col("k") + F.greatest("part", "other")).alias("cell"), "list", "tail")
     cells = cells.repartition("word", "cell").sortWithinPartitions("word", "cell")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now, compare = [], None, Comparer(threshold, only_new)
+        held, tails, now, compare = [], [], None, Comparer(threshold, only_new, split)
 
         def flush():
-            nonlocal held
+            nonlocal held, tails
             if held and (len(held) > 1 or len(held[0]) > ENTRY.itemsize):
-                compare.add(np.frombuffer(b"".join(held), ENTRY))
-            held = []
+                compare.add(np.frombuffer(b"".join(held), ENTRY), np.frombuffer(b"".join(tails), "<u2"))
+            held, tails = [], []
 
         for b in batches:
-            for w, c, x in zip(b["word"], b["cell"], b["list"]):
+            for w, c, x, y in zip(b["word"], b["cell"], b["list"], b["tail"]):
                 if (w, c) != now:
                     flush()
                     now = (w, c)
                 held.append(x)
+                tails.append(y)
             if sum(x.shape[1] for x in compare.out) > 50_000:
                 yield _pairs(compare.out)
                 compare.out.clear()
@@ -374,28 +390,39 @@ def verify(pairs: DataFrame, reps: DataFrame, frequent: list[str], threshold: fl
 class Join:
     """The parts of a self-join: ``members`` (id, rep) and ``pairs`` (a, b, similarity) between representatives."""
 
-    def __init__(self, rows: DataFrame, key: str, columns: list[str], threshold: float, block: int = BLOCK) -> None:
+    def __init__(self, rows: DataFrame, key: str, columns: list[str], threshold: float, block: int = BLOCK, split: int = SPLIT) -> None:
         texts = readable(rows, key, columns, "setjoin-texts")
         frequent = frequent_words(texts)
         encoded = park(encode(texts, frequent), "setjoin-codes")
         self.reps = park(classes(encoded), "setjoin-classes")
         self.members = encoded.select("id", "h1", "h2").join(self.reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
-        found = candidates(entries(self.reps, frequent, threshold), threshold, block=block)
+        # parked, as the size of what is left decides how it is joined
+        found = park(candidates(entries(self.reps, frequent, threshold), threshold, block=block, split=split), "setjoin-candidates")
         self.pairs = park(verify(found, self.reps, frequent, threshold), "setjoin-pairs")
 
 
-def similar_pairs(rows: DataFrame, key: str, columns: list[str], threshold: float = 0.6) -> DataFrame:
+def similar_pairs(rows: DataFrame, key: str, columns: list[str], threshold: float = 0.6, part: int = 4096) -> DataFrame:
     """``a, b`` (keys, a < b) of all rows whose word sets share at least ``threshold`` of their union.
 
     Equal sets count. Null texts are empty; texts without any word are similar to none; rows of a null key are left
     out and a repeated key counts once; an empty table gives no pair; columns but ``key`` and ``columns`` are ignored.
+
+    A class of more than ``part`` rows is cut and its parts meet pairwise, in tasks of their own.
     """
     j = Join(rows, key, columns, threshold)
     members = park(j.members.distinct(), "setjoin-members")
-    within = members.alias("x").join(members.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    across = j.pairs.join(left, "a").join(right, "b").where("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
-    return within.unionByName(across)
+    parts = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("rep", F.ceil(F.col("copies") / part).cast("int").alias("k"))
+    several = members.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    x = several.select("rep", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("k") - 1)).alias("q"), F.col("id").alias("ia"))
+    y = several.select("rep", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"), F.col("id").alias("ib"))
+    within = x.join(y, ["rep", "p", "q"]).where("p < q or ia < ib")
+    # classes of one row are their own part
+    placed = members.join(parts, "rep", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    placed = placed.select("rep", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"), "id")
+    spread = lambda d, c: d.join(parts.withColumnRenamed("rep", c), c, "left").withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    across = spread(j.pairs.select("a", "b"), "a").join(placed.select(F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("id").alias("ia")), ["a", "pa"])
+    across = spread(across.select("b", "ia"), "b").join(placed.select(F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("id").alias("ib")), ["b", "pb"])
+    return within.select("ia", "ib").unionByName(across.select("ia", "ib").where("ia <> ib")).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
 
 
 def groups(rows: DataFrame, key: str, columns: list[str], threshold: float = 0.6) -> DataFrame:
