@@ -178,7 +178,7 @@ def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool =
     """The short lists, in pieces: ``word, list, tail`` with the entries of the sets that have the word among their first.
 
     ``tail`` holds for each entry the words after this one that take part in the merge, hashed to 16 bits: words with
-    one hash are merged as one, which adds candidates and loses none.
+    one hash are merged as one, which adds candidates and loses none. ``m`` is the number of entries of a piece.
     """
     rank = _rank(frequent)
 
@@ -206,9 +206,34 @@ def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool =
             tail = code[_ranges(start[row] + pos + 1, length)]
             cut = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1, [len(word)]])
             at = np.concatenate([[0], np.cumsum(length)])[cut]
-            yield pd.DataFrame({"word": word[cut[:-1]], "list": [e[i:j].tobytes() for i, j in zip(cut, cut[1:])], "tail": [tail[i:j].tobytes() for i, j in zip(at, at[1:])]})
+            yield pd.DataFrame({"word": word[cut[:-1]], "m": np.diff(cut), "list": [e[i:j].tobytes() for i, j in zip(cut, cut[1:])], "tail": [tail[i:j].tobytes() for i, j in zip(at, at[1:])]})
 
-    return reps.select("rep", "codes").mapInPandas(run, "word bigint, list binary, tail binary")
+    return reps.select("rep", "codes").mapInPandas(run, "word bigint, m int, list binary, tail binary")
+
+
+def list_sizes(reps: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
+    """``word, m``: how many entries the short lists will have."""
+    rank = _rank(frequent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            flat, n = unpack(b["codes"].tolist(), rank)
+            if len(n):
+                word, m = np.unique(flat[_ranges(np.cumsum(n) - n, merged(n, threshold)[0])], return_counts=True)
+                yield pd.DataFrame({"word": word, "m": m})
+
+    return reps.select("codes").mapInPandas(run, "word bigint, m bigint").groupBy("word").agg(F.sum("m").alias("m"))
+
+
+def second_words(e: np.ndarray, tail: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """``tiny, code, row, pos``: entries merged by a second word, in order of its code, with their row and its place.
+
+    ``tiny`` are the rows of sets so small that one shared word is enough for a pair of them.
+    """
+    n, pos = (e["n"] & ~NEW).astype(np.int64), e["pos"].astype(np.int64)
+    length = merged(n, threshold)[1] - pos - 1
+    order = np.argsort(tail, kind="stable")
+    return np.flatnonzero(np.ceil(threshold * n - 1e-9) < 2), tail[order], np.repeat(np.arange(len(e)), length)[order], _ranges(pos + 1, length)[order]
 
 
 class Comparer:
@@ -223,23 +248,19 @@ class Comparer:
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.items = 0
 
-    def add(self, e: np.ndarray, tail: np.ndarray) -> None:
-        """The entries of a word with their tails. Pairs of a long list share a second word, but for sets so small that one is enough."""
+    def add(self, e: np.ndarray, tail: np.ndarray | None) -> None:
+        """The entries of a word with their tails, or, without tails, of two words of which ``pos`` is the place of the second."""
         if len(e) < 2 or self.only_new and not (e["n"] & NEW).any():
             return
         n, pos = (e["n"] & ~NEW).astype(np.int64), e["pos"].astype(np.int64)
-        every = np.arange(len(e))
-        if len(e) <= self.split:
-            self._put(e, every, np.array([len(e)]), n - pos)
+        if tail is None or len(e) <= self.split:
+            # the words that are shared so far and all that come after
+            self._put(e, np.arange(len(e)), np.array([len(e)]), n - pos + (tail is None))
             return
-        tiny = every[np.ceil(self.threshold * n - 1e-9) < 2]
+        tiny, code, row, pos2 = second_words(e, tail, self.threshold)
         if len(tiny) > 1:
             self._put(e, tiny, np.array([len(tiny)]), (n - pos)[tiny])
-        length = merged(n, self.threshold)[1] - pos - 1
-        row = np.repeat(every, length)
-        left = n[row] - _ranges(pos + 1, length) + 1  # the two that are shared and all words after the second
-        order = np.argsort(tail, kind="stable")
-        code, row, left = tail[order], row[order], left[order]
+        left = n[row] - pos2 + 1
         cut = np.concatenate([[0], np.nonzero(code[1:] != code[:-1])[0] + 1]) if len(code) else np.empty(0, np.int64)
         size = np.diff(np.concatenate([cut, [len(code)]]))
         keep = size > 1
@@ -315,20 +336,44 @@ class Comparer:
             self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
 
 
-def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
+def _by_second_word(pieces: DataFrame, threshold: float) -> DataFrame:
+    """Pieces ``word, second, m, list`` of pieces ``word, list, tail``; ``second`` is -1 for sets that need no second word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for w, x, y in zip(b["word"], b["list"], b["tail"]):
+                e = np.frombuffer(x, ENTRY)
+                tiny, code, row, pos = second_words(e, np.frombuffer(y, "<u2"), threshold)
+                code = np.concatenate([np.full(len(tiny), -1), code.astype(np.int64)])
+                if not len(code):
+                    continue
+                got = e[np.concatenate([tiny, row])]
+                got["pos"][len(tiny) :] = pos
+                cut = np.concatenate([[0], np.nonzero(code[1:] != code[:-1])[0] + 1, [len(code)]])
+                yield pd.DataFrame({"word": w, "second": code[cut[:-1]], "m": np.diff(cut), "list": [got[i:j].tobytes() for i, j in zip(cut, cut[1:])]})
+
+    return pieces.select("word", "list", "tail").mapInPandas(run, "word bigint, second int, m int, list binary")
+
+
+def candidates(lists: DataFrame, sizes: DataFrame, threshold: float, only_new: bool = False, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """``a, b`` (ids, a < b) of all pairs that occur in enough short lists and whose sketches allow the threshold.
 
-    A list of more than ``block`` entries is cut, and every two blocks meet in a cell of their own, in tasks of their
-    own; so no task holds more than two blocks of a word.
+    ``sizes`` (word, m) are those of the lists. A list of more than ``block`` entries is merged with the lists of the
+    words that follow before it is sent, so that its parts go to many tasks, each entry about as often as its set has
+    words to merge. What is longer than ``block`` even so is cut, and every two blocks meet in a cell of their own; so no
+    task holds more than two blocks.
     """
-    pieces = lists.withColumn("size", F.length("list") / F.lit(ENTRY.itemsize))
-    size = pieces.groupBy("word").agg(F.sum("size").alias("total")).where(F.col("total") > block)
-    long = size.select("word", F.ceil(F.col("total") / block).cast("int").alias("k"))
-    cells = pieces.join(long, "word", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    cells = cells.withColumn("part", F.pmod(F.xxhash64("list"), F.col("k")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("word", (F.least("part", "other") * F.col("k") + F.greatest("part", "other")).alias("cell"), "list", "tail")
-    cells = cells.repartition("word", "cell").sortWithinPartitions("word", "cell")
+    cells = lists.select("word", F.lit(-2).alias("second"), F.lit(0).alias("p"), F.lit(0).alias("q"), "list", "tail")
+    # parked, as the size of what is left decides how it is joined; at most all entries / block words
+    long = park(sizes.where(F.col("m") > block).select("word"), "setjoin-long")
+    if not long.isEmpty():
+        deep = _by_second_word(lists.join(long, "word", "left_semi"), threshold)
+        longer = park(deep.groupBy("word", "second").agg(F.sum("m").alias("m")).where(F.col("m") > block).select("word", "second", F.ceil(F.col("m") / block).cast("int").alias("k")), "setjoin-long")
+        deep = deep.join(longer, ["word", "second"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        deep = deep.withColumn("part", F.pmod(F.xxhash64("list"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        deep = deep.select("word", "second", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "list", F.lit(None).cast("binary").alias("tail"))
+        cells = cells.join(long, "word", "left_anti").unionByName(deep)
+    cells = cells.repartition("word", "second", "p", "q").sortWithinPartitions("word", "second", "p", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, tails, now, compare = [], [], None, Comparer(threshold, only_new, split)
@@ -336,14 +381,15 @@ def candidates(lists: DataFrame, threshold: float, only_new: bool = False, block
         def flush():
             nonlocal held, tails
             if held and (len(held) > 1 or len(held[0]) > ENTRY.itemsize):
-                compare.add(np.frombuffer(b"".join(held), ENTRY), np.frombuffer(b"".join(tails), "<u2"))
+                e = np.frombuffer(b"".join(held), ENTRY)
+                compare.add(e, np.frombuffer(b"".join(tails), "<u2") if now[1] == -2 else None)
             held, tails = [], []
 
         for b in batches:
-            for w, c, x, y in zip(b["word"], b["cell"], b["list"], b["tail"]):
-                if (w, c) != now:
+            for w, c, p, q, x, y in zip(b["word"], b["second"], b["p"], b["q"], b["list"], b["tail"]):
+                if (w, c, p, q) != now:
                     flush()
-                    now = (w, c)
+                    now = (w, c, p, q)
                 held.append(x)
                 tails.append(y)
             if sum(x.shape[1] for x in compare.out) > 50_000:
@@ -397,7 +443,8 @@ class Join:
         self.reps = park(classes(encoded), "setjoin-classes")
         self.members = encoded.select("id", "h1", "h2").join(self.reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
         # parked, as the size of what is left decides how it is joined
-        found = park(candidates(entries(self.reps, frequent, threshold), threshold, block=block, split=split), "setjoin-candidates")
+        sizes = list_sizes(self.reps, frequent, threshold)
+        found = park(candidates(entries(self.reps, frequent, threshold), sizes, threshold, block=block, split=split), "setjoin-candidates")
         self.pairs = park(verify(found, self.reps, frequent, threshold), "setjoin-pairs")
 
 
