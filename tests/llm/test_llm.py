@@ -213,8 +213,10 @@ def test_history(spark):
     for b in (1, 2, 3):
         x = h.match(history.arriving(new.where(F.col("batch_no") == b)))
         got += [(r["id"], r["item_id"]) for r in x.where("not is_new").collect()]
-        h.append(x)
+        h.append()
     assert sorted(got) == want
+    one = {r["incoming_id"]: tuple(r) for r in history.matches(old, new, at_once=1).collect()}
+    assert one == {i: tuple(r) for i, r in m.items()}
     assert history.found(old.limit(0), new.limit(0)).count() == 0
     assert rows_of(history.found(old, new.limit(0))) == []
 

@@ -458,18 +458,20 @@ def similar_pairs(rows: DataFrame, key: str, columns: list[str], threshold: floa
     """
     j = Join(rows, key, columns, threshold)
     members = park(j.members.distinct(), "setjoin-members")
-    parts = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("rep", F.ceil(F.col("copies") / part).cast("int").alias("k"))
+    copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # parked, as the size of what is left decides how it is joined
+    parts = park(copies.select("rep", F.ceil(F.col("copies") / part).cast("int").alias("k")), "setjoin-parts")
     several = members.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     x = several.select("rep", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("k") - 1)).alias("q"), F.col("id").alias("ia"))
     y = several.select("rep", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"), F.col("id").alias("ib"))
-    within = x.join(y, ["rep", "p", "q"]).where("p < q or ia < ib")
-    # classes of one row are their own part
-    placed = members.join(parts, "rep", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    placed = placed.select("rep", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"), "id")
-    spread = lambda d, c: d.join(parts.withColumnRenamed("rep", c), c, "left").withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
-    across = spread(j.pairs.select("a", "b"), "a").join(placed.select(F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("id").alias("ia")), ["a", "pa"])
-    across = spread(across.select("b", "ia"), "b").join(placed.select(F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("id").alias("ib")), ["b", "pb"])
-    return within.select("ia", "ib").unionByName(across.select("ia", "ib").where("ia <> ib")).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    within = x.join(y, ["rep", "p", "q"]).where("p < q or ia < ib").select("ia", "ib")
+    # a class of one row is its representative; only pairs of a larger one are spread over its parts
+    across = j.pairs.select("a", "b")
+    for c in ("a", "b"):
+        across = across.join(parts.withColumnRenamed("rep", c), c, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+        rows_of = several.select(F.col("rep").alias(c), "part", F.col("id").alias("row"))
+        across = across.join(rows_of, [c, "part"], "left").withColumn(f"i{c}", F.coalesce("row", c)).drop("row", "part")
+    return within.unionByName(across.select("ia", "ib")).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
 
 
 def groups(rows: DataFrame, key: str, columns: list[str], threshold: float = 0.6) -> DataFrame:
