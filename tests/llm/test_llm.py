@@ -264,19 +264,21 @@ def test_leaks_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     e = spark.createDataFrame([*items, items[0], (None, "x"), (77, None)], "item_no bigint, text string")
     assert set(map(tuple, leakage.found(d, e).collect())) == want and want
-    assert set(map(tuple, leakage.leaks(d, e, items_at_once=7).select("doc_id", "item_no").collect())) == want
     assert leakage.found(d.limit(0), e).count() == 0 and leakage.found(d, e.limit(0)).count() == 0
 
 
-def test_block_tables_lose_nothing_within_the_radius():
+def test_blocks_and_filter_lose_nothing_within_the_radius(spark):
     r = np.random.default_rng(0)
     prints = r.integers(0, 2**63, 300, dtype=np.uint64)
-    got = prints[:100].copy()
-    for i in range(100):
+    got = prints.copy()
+    for i in range(300):
         for b in r.choice(64, 2, replace=False):
-            got[i] ^= np.uint64(1) << np.uint64(b)
-    a, b = leakage.BlockTables(prints, 2).pairs(got)
-    assert {(i, i) for i in range(100)} <= set(zip(a.tolist(), b.tolist()))
+            got[i] ^= np.uint64(1) << np.uint64(int(b))
+    assert (leakage.blocks(prints, 2) == leakage.blocks(got, 2)).any(1).all()
+    bits = np.unpackbits(leakage._filter(spark.createDataFrame([(int(x),) for x in prints], "print bigint"), 2), bitorder="little")
+    for t in range(3):
+        one, two = leakage._places(leakage.blocks(prints, 2)[:, t], t)
+        assert bits[one].all() and bits[two].all()
 
 
 def test_near_windows(spark):
@@ -288,6 +290,41 @@ def test_near_windows(spark):
     assert rows_of(leakage.leaks(d, e, radius=30, similarity=0.7).select("doc_id", "item_no")) == [(1, 1), (2, 1)]
 
 
+def test_near_windows_against_brute_force(spark):
+    """Every pair of windows within the radius and from the similarity on is found."""
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(r.choices(vocabulary, k=20))) for i in range(25)]
+    docs = []
+    for i in range(150):
+        w = r.choice(items)[1].split()[r.randrange(4) :]
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        docs.append((i, " ".join(r.choices(vocabulary, k=5) + w)))
+    fp, counts = leakage.Fingerprinter(12), np.zeros(leakage.COUNTERS)
+    grams = lambda t: [t.split()[k : k + 12] for k in range(len(t.split()) - 11)]
+    for _, t in items:
+        for g in {tuple(g) for g in grams(t)}:
+            for w in g:
+                counts[leakage._slot(w)] += 1
+    weight = np.log1p(counts.sum() / (1 + counts))
+    prints = {tuple(g): int(fp.fingerprints(fp.number(g))[0]) for _, t in items + docs for g in grams(t)}
+    for radius in (2, 8):
+        want = {
+            (i, no) for i, t in docs for no, u in items for g in grams(t) for h in grams(u)
+            if (prints[tuple(g)] ^ prints[tuple(h)]).bit_count() <= radius and leakage.shingle_similarity(g, h, lambda w: weight[leakage._slot(w)]) >= 0.8
+        }
+        d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_no bigint, text string")
+        assert set(map(tuple, leakage.leaks(d, e, radius=radius, similarity=0.8).select("doc_id", "item_no").collect())) == want and want
+
+
+def test_markup():
+    assert leakage.words('one <a href="' + "x" * 2000 + '" title=\'a b\'>two</a> <input disabled> three<br/>four') == ["one", "two", "three", "four"]
+    assert leakage.words("if a<b and c>d then") == ["if", "a", "b", "and", "c", "d", "then"]
+    assert leakage.words("a<!-- no <b> words -->b <!DOCTYPE html> c") == ["a", "b", "c"]
+    assert leakage.words("x&nbsp;y &CounterClockwiseContourIntegral; caf&eacute;s &#233;t&#xE9; &nosuch; AT&T; &#0;z") == ["x", "y", "cafés", "été", "nosuch", "at", "t", "z"]
+
+
 # ---- 7
 
 

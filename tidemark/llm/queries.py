@@ -32,6 +32,10 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p6_edited(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.edited(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
