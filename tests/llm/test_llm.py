@@ -62,6 +62,10 @@ def test_golden_record_and_votes(spark):
     rows = [fetch(1, "o/r", "MIT", "a.example", 80.0, 5), fetch(2, "o/r", "MIT License", "https://a.example/", 40.0, 5), fetch(3, "o/r", "ISC", None, 40.0, 5)]
     g = survivorship.golden_records(spark.createDataFrame(rows, GITHUB)).first()
     assert (g["license"], g["homepage"], g["license_share"], g["homepage_share"]) == ("mit", "a.example", 0.75, 1.0)
+    # two rows of less trust outvote one of more; by trust the one survives
+    rows = [fetch(1, "o/r", "MIT", None, 90.0, 5), fetch(2, "o/r", "ISC", None, 50.0, 5), fetch(3, "o/r", "isc", None, 60.0, 5), fetch(4, "https://github.com/o/r", None, None, 1.0, None)]
+    g = [survivorship.golden_records(spark.createDataFrame(rows, GITHUB), by).first() for by in ("votes", "trust")]
+    assert [(x["license"], x["license_record"], x["rows"]) for x in g] == [("isc", 3, 4), ("mit", 1, 4)]
 
 
 # ---- 3
@@ -167,6 +171,16 @@ def test_linkage(spark):
     assert linkage.found(p.limit(0), g).count() == 0 and linkage.found(p, g.limit(0)).count() == 0
 
 
+def test_linkage_by_short_and_long_names(spark):
+    p = spark.createDataFrame([(1, "2601.00001", None, "Rift: a planner", []), (2, "2601.00002", None, "On The Very Long Road Home Again today", []), (3, None, None, "word " * 3000 + "end", None)], "paper_id bigint, external_id string, source_url string, title string, outbound_urls array<string>")
+    g = spark.createDataFrame([("a/rift", [], None), ("b/the-very-long-road-home-again", [], None), ("c/word", [], None), ("https://github.com/d/else", [], None)], "external_id string, outbound_urls array<string>, homepage string")
+    assert rows_of(linkage.found(p, g)) == [(1, "a/rift"), (2, "b/the-very-long-road-home-again"), (3, "c/word")]
+    assert {r[0] for r in linkage.repositories(g).select("entity_key").collect()} >= {"d/else"}
+    # a name that very many titles hold says little by itself
+    many = spark.createDataFrame([(i, f"2601.{i:05d}", None, "Rift: a planner", []) for i in range(60)], p.schema)
+    assert linkage.found(many, g).count() == 0
+
+
 def test_linkage_by_what_many_share(spark):
     """A name or a site that 25 repositories share is weighed, not left out."""
     papers = [(1, "2601.00001", "AlphaTool: fast", []), (2, "2601.00002", "Betastones: x", ["https://hub.example/paper"]), (3, "2601.00003", "Betastones: y", []), (4, "2601.00004", "Other words", ["https://hub.example/paper"])]
@@ -357,6 +371,13 @@ def test_mixture(spark):
     for x in order:
         seen[x["source"]] += x["tokens"]
         assert abs(seen["a"] - 0.625 * sum(seen.values())) < 2 * 60 + total / 4096 * 2
+    # many small frames and parts give the same documents, in blocks that stay small
+    small = mixing.mixture(d, t, slots=16, block_tokens=20, part_tokens=500).collect()
+    assert sorted((x["source"], x["doc_id"]) for x in small) == sorted((x["source"], x["doc_id"]) for x in m) or abs(sum(x["tokens"] for x in small) - total) < 120
+    seen = {"a": 0, "b": 0}
+    for x in sorted(small, key=lambda x: (x["slot"], x["pass"], x["doc_id"])):
+        seen[x["source"]] += x["tokens"]
+        assert abs(seen["a"] - 0.625 * sum(seen.values())) < 2 * 60 + 2 * 20
     s = {r["source"]: r for r in mixing.shares(d, t).collect()}
     assert s["gone"]["tokens"] == 0 and s["gone"]["actual_share"] == 0 and s["b"]["most_uses"] <= 3
     assert mixing.mixture(d.limit(0), t).count() == 0 and mixing.mixture(d, t.limit(0)).count() == 0
@@ -379,6 +400,17 @@ def test_word_forms():
     assert abuse.word_forms("2024") == ["0"] and abuse.word_forms("**own**") == ["own"] and abuse.word_forms("...") == []
 
 
+def test_long_sentences_are_read_through_windows():
+    fz = abuse.Featurizer()
+    tokens = [f"t{i}" for i in range(40)]
+    f, s, doc, of = fz.batch([" ".join(tokens), "a b. c d"])
+    assert list(of) == [0, 0, 0, 1, 2] and list(doc) == [0, 0, 0, 1, 1]
+    whole = abuse.Featurizer().batch([" ".join(tokens[:24])])[0]
+    assert set(whole) == set(f[s == 0])
+    pairs = [set(abuse.Featurizer().batch([f"{x} {y}"])[0]) for x, y in zip(tokens, tokens[1:])]
+    assert all(any(p <= set(f[s == k]) for k in range(3)) for p in pairs)
+
+
 def planted(n, seed):
     r = random.Random(seed)
     fine = ["the planner sorts {0} queries.", "reviewers liked the {0} engine.", "a support agent bans words like rotten {0}.", "this {0} index is stupid but fast."]

@@ -16,17 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.glyphs import LOOK_ALIKES
+from tidemark.plans.shared import park
 
-#: Labelled documents the model is fitted on at most (a fixed pseudo-random choice if there are more).
-LABELLED = 20_000
+#: Labelled documents the model is fitted on at most (a fixed pseudo-random choice if there are more), and features of them altogether.
+LABELLED, FEATURES = 20_000, 20_000_000
 #: Features are hashed to so many bits.
 BITS = 22
-#: Longer sentences are cut into pieces of so many tokens.
-LONGEST = 24
+#: A longer sentence is read through a window of so many tokens that moves on by half of it, so that any two neighbours stand in one; it is as severe as its worst window.
+WINDOW = 24
 #: Expected grade from which a document counts as found: it is nearer to a higher grade than to 0.
 SEVERE = 0.5
 
@@ -109,8 +110,8 @@ class Featurizer:
             self.table = n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.concatenate(self.ids), np.array(self.ends), np.array([bool(x) for x in self.letter])
         return self.table
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``feature, sentence, document of each sentence``; sentences are numbered over the batch."""
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``feature, window, document of each window, sentence of each window``; a sentence of up to ``WINDOW`` tokens is one window."""
         import xxhash
 
         if len(self.memo) > self.MEMO:
@@ -127,11 +128,15 @@ class Featurizer:
         doc = np.repeat(np.arange(len(texts)), sizes)
         ends_here = ends[codes]
         after = np.concatenate([[True], ends_here[:-1]])
-        since = np.arange(len(codes)) - np.maximum.accumulate(np.where(after, np.arange(len(codes)), 0))
-        sentence = np.cumsum(after | (since % LONGEST == 0)) - 1
-        count = int(sentence[-1]) + 1
-        doc_of = np.zeros(count, np.int64)
-        doc_of[sentence] = doc
+        begin = np.flatnonzero(after)
+        length = np.diff(np.concatenate([begin, [len(codes)]]))
+        windows = np.where(length <= WINDOW, 1, -(-length // (WINDOW // 2)) - 1)
+        of = np.repeat(np.arange(len(begin)), windows)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        low = begin[of] + place * (WINDOW // 2)
+        size = np.minimum(WINDOW, begin[of] + length[of] - low)
+        at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+        codes, ends_here, sentence, doc_of = codes[at], ends_here[at], np.repeat(np.arange(len(of)), size), doc[low]
         k = n[codes]
         words = flat[np.repeat(start[codes] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
         at = np.repeat(sentence, k)
@@ -143,14 +148,15 @@ class Featurizer:
         # letters set apart: the word they spell
         alone = letter[codes] & ~ends_here
         if alone.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], alone.astype(np.int8), [0]])))
-            for a, b in zip(edge[::2], edge[1::2]):
+            other = sentence[1:] != sentence[:-1]
+            first, last = np.flatnonzero(alone & np.concatenate([[True], ~alone[:-1] | other])), np.flatnonzero(alone & np.concatenate([~alone[1:] | other, [True]])) + 1
+            for a, b in zip(first, last):
                 if b - a >= 3:
                     spelt = "".join(self.letter[c] for c in codes[a:b])
                     features.append(np.array([xxhash.xxh3_64_intdigest(spelt)], np.uint64))
                     where.append(sentence[a : a + 1])
         f, s = np.concatenate(features) & self.mask, np.concatenate(where)
-        return f.astype(np.int64), s, doc_of
+        return f.astype(np.int64), s, doc_of, of
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -280,8 +286,8 @@ def graded(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     return g.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> dict:
-    """The model; features are made where the documents are, and only those of at most ``limit`` labelled documents are gathered."""
+def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED, features: int = FEATURES) -> dict:
+    """The model; features are made where the documents are, and only ``features`` of them, of at most ``limit`` labelled documents, are gathered."""
     chosen = F.broadcast(graded(labels, limit))  # at most limit rows
     texts = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
 
@@ -291,7 +297,7 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> dict:
             rows, texts = [], b["text"].tolist()
             for lo in range(0, len(texts), 256):
                 part = texts[lo : lo + 256]
-                f, s, doc = fz.batch(part)
+                f, s, doc, _ = fz.batch(part)
                 order = np.argsort(s, kind="stable")
                 f, s = f[order], s[order]
                 first = np.searchsorted(doc, np.arange(len(part) + 1))
@@ -299,9 +305,13 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> dict:
                 for k in range(len(part)):
                     i, j = cut[k], cut[k + 1]
                     rows.append((f[i:j].astype(np.int32).tobytes(), (s[i:j] - first[k]).astype(np.int32).tobytes()))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "f": [r[0] for r in rows], "s": [r[1] for r in rows], "grade": b["grade"]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "f": [r[0] for r in rows], "s": [r[1] for r in rows], "n": [len(r[0]) // 4 for r in rows], "grade": b["grade"]})
 
-    got = texts.mapInPandas(run, "doc_id bigint, f binary, s binary, grade int").toPandas().sort_values(["doc_id", "f"], kind="stable")
+    made = park(texts.mapInPandas(run, "doc_id bigint, f binary, s binary, n bigint, grade int"), "abuse-features")
+    # documents in a fixed order as far as the features go; the window holds numbers of the labelled documents only
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("f"))
+    fits = made.select("doc_id", F.xxhash64("f").alias("h"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sofar")).where(F.col("sofar") <= features).select("doc_id", "h").distinct()
+    got = made.withColumn("h", F.xxhash64("f")).join(fits, ["doc_id", "h"]).select("doc_id", "f", "s", "grade").toPandas().sort_values(["doc_id", "f"], kind="stable")
     return train(list(zip(got["f"].map(bytes), got["s"].map(bytes), got["grade"])))
 
 
@@ -331,13 +341,18 @@ def scores(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Da
                 while hi < len(texts) and (hi == lo or chars < 2_000_000):
                     chars += len(texts[hi] or "")
                     hi += 1
-                f, s, doc = fz.batch(texts[lo:hi])
+                f, s, doc, of = fz.batch(texts[lo:hi])
                 z = np.bincount(s, w[f], len(doc)) * scale(s, len(doc))
                 e = _sigmoid(z - low) + _sigmoid(z - high) if known else np.zeros(len(doc))
-                e[np.bincount(s, minlength=len(doc)) == 0] = 0.0
+                some = np.bincount(s, minlength=len(doc)) > 0
+                e[~some] = 0.0
                 np.maximum.at(severity, lo + doc, e)
-                size[lo:hi] += np.bincount(doc[np.bincount(s, minlength=len(doc)) > 0], minlength=hi - lo)
-                severe[lo:hi] += np.bincount(doc[e >= SEVERE], minlength=hi - lo)
+                worst, said = np.zeros(of[-1] + 1), np.zeros(of[-1] + 1, bool)
+                np.maximum.at(worst, of, e)
+                said[of[some]] = True
+                doc = doc[np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))]  # of each sentence
+                size[lo:hi] += np.bincount(doc[said], minlength=hi - lo)
+                severe[lo:hi] += np.bincount(doc[worst >= SEVERE], minlength=hi - lo)
                 lo = hi
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "severity": severity.round(6), "sentences": size, "severe_sentences": severe})
 

@@ -1,7 +1,8 @@
 """Mix sources to target shares of the tokens of a public tokenizer, in a proportionate-fair order.
 
 Each source is a stream of its documents in a fixed pseudo-random order, pass
-after pass, cut into blocks of tokens. Block ``k`` of a source with weight ``w``
+after pass, cut into blocks of tokens. The schedule is that of a frame in which
+every source has a whole number of blocks; frame follows frame. Block ``k`` of a source with weight ``w``
 is released at slot ``floor((k-1)/w)`` and due at ``ceil(k/w)``; taking the
 released block with the earliest deadline at each slot keeps every source
 within less than one block of its share at every point of the mixture.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -24,10 +26,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that cuts texts before byte-pair merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Slots of the schedule; the schedule is made on the driver and its size does not depend on the data.
+#: Slots of a frame. The schedule of a frame is made on the driver; a mixture has as many frames, each like the other, as its size asks for.
 SLOTS = 4096
-#: Parts of a source's order, so that running sums need no task that holds a whole source.
-BUCKETS = 256
+#: Tokens of a block at most, whatever the size of the mixture.
+BLOCK_TOKENS = 1 << 16
+#: Tokens of a part of a source's order at most, so that running sums need no task that holds a whole source.
+PART_TOKENS = 1 << 24
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
@@ -100,10 +104,12 @@ def pfair_schedule(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER, slots: int = SLOTS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER, slots: int = SLOTS, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """The mixture: ``slot, source, block, pass, doc_id, tokens, target_share`` with one row per use of a document.
 
-    Order by ``slot, pass, doc_id`` to read it. ``pass`` counts from 1 and never exceeds ``max_repeats``. The last
+    Order by ``slot, pass, doc_id`` to read it. A block has at most ``block_tokens`` tokens, or a frame's part of a
+    mixture of less than ``slots`` blocks; a source has at least one block in each frame, and blocks of a size of its
+    own, so that its share is met whatever the number of slots. ``pass`` counts from 1 and never exceeds ``max_repeats``. The last
     document of a source is used if at least half of it fits, so that a source misses its quota by half a document at
     most. Documents without id, text or source and sources without a target are left out; a repeated ``doc_id`` is one
     document; documents of no tokens are never used; targets that are repeated add up their shares and keep the lowest
@@ -115,28 +121,31 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     place = F.xxhash64(F.col("doc_id"), F.lit(17))
     counted = count_tokens(documents.where(F.col("source").isin([g[0] for g in goals] or [""])), tokenizer)
     counted = counted.groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens"), F.struct("source", "tokens")).alias("x")).select("doc_id", "x.*").where("tokens > 0")
-    counted = park(counted.withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(BUCKETS))), "mixing-counts")
-    sums = counted.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")).collect()  # at most targets x BUCKETS rows
-    before, available = [], {}
-    for r in sorted(sums, key=lambda r: (r["source"], r["bucket"])):
-        before.append((r["source"], r["bucket"], available.get(r["source"], 0)))
-        available[r["source"]] = available.get(r["source"], 0) + r["tokens"]
+    counted = park(counted.withColumn("place", place), "mixing-counts")
+    available = {r["source"]: r["tokens"] for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # a row a target
     quotas = feasible_quotas(goals, available, total_tokens)
     whole = sum(quotas.values())
     cap = {s: r for s, _, r in goals}
     share = {s: w for s, w, _ in goals}
-    blocks = {s: max(1, round(slots * q / whole)) for s, q in quotas.items()}
-    plan = [(s, float(q), float(available[s]), blocks[s], q / blocks[s], cap[s], share[s]) for s, q in quotas.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, quota double, available double, blocks bigint, block_tokens double, cap bigint, target_share double"))
-    order_df = F.broadcast(spark.createDataFrame(pfair_schedule(blocks), "source string, block bigint, slot bigint"))
-    before_df = F.broadcast(spark.createDataFrame(before, "source string, bucket bigint, sofar bigint"))
-    running = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    docs = counted.withColumn("within", F.coalesce(F.sum("tokens").over(running), F.lit(0))).join(before_df, ["source", "bucket"]).join(plan_df, "source")
+    frames = max(1, math.ceil(whole / (slots * block_tokens)))
+    blocks = {s: max(1, round(slots * q / whole)) for s, q in quotas.items()}  # of a frame
+    plan = [(s, float(q), float(available[s]), blocks[s], frames * blocks[s], q / (frames * blocks[s]), cap[s], share[s]) for s, q in quotas.items()]
+    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, quota double, available double, in_frame bigint, blocks bigint, block_tokens double, cap bigint, target_share double"))
+    order_df = F.broadcast(spark.createDataFrame(pfair_schedule(blocks), "source string, in_order bigint, place_in_frame bigint"))
+    parts = max(1, math.ceil(max(available.values(), default=0) / part_tokens))
+    counted = counted.withColumn("part", F.pmod("place", F.lit(parts)))
+    sums = counted.groupBy("source", "part").agg(F.sum("tokens").alias("tokens"))
+    sofar = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.select("source", "part", sofar.alias("sofar"))
+    running = Window.partitionBy("source", "part").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    docs = counted.withColumn("within", F.coalesce(F.sum("tokens").over(running), F.lit(0))).join(before, ["source", "part"]).join(plan_df, "source")
     docs = docs.withColumn("passes", F.least("cap", F.ceil(F.col("quota") / F.col("available")) + 1))
     uses = docs.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes").cast("bigint"))))
     uses = uses.withColumn("start", (F.col("pass") - 1) * F.col("available") + F.col("sofar") + F.col("within"))
     uses = uses.where("start + tokens / 2.0 <= quota").withColumn("block", F.least(F.col("blocks") - 1, F.floor(F.col("start") / F.col("block_tokens"))))
-    return uses.join(order_df, ["source", "block"]).select("slot", "source", "block", "pass", "doc_id", "tokens", "target_share")
+    uses = uses.withColumn("in_order", F.col("block") % F.col("in_frame")).join(order_df, ["source", "in_order"])
+    slot = F.expr("block div in_frame") * sum(blocks.values()) + F.col("place_in_frame")
+    return uses.select(slot.alias("slot"), "source", "block", "pass", "doc_id", "tokens", "target_share")
 
 
 def shares(documents: DataFrame, targets: DataFrame, **parameters) -> DataFrame:

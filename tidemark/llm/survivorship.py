@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.params import CODE_HOSTS
+
 #: Texts that stand where a licence is missing.
 NO_LICENSE = ["", "-", "--", "n/a", "na", "nil", "no license", "noassertion", "none", "not specified", "null", "other", "see license", "tbd", "todo", "undefined", "unknown", "unlicensed", "?"]
 #: Other spellings of a licence, in lower case without "license" and "the".
@@ -30,9 +32,13 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
-def repository_key(c: Column) -> Column:
-    """``owner/name`` in lower case of an identifier or URL of a repository; null if it names none."""
-    path = F.regexp_replace(F.lower(_trim(c)), r"^(?:git\+)?(?:[a-z][a-z+.]*://)?(?:[^/@\s]+@)?(?:www\.)?github\.example(?::\d+/|[:/])/*", "")
+def host_pattern(hosts: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(h.replace(".", r"\.") for h in hosts) + ")"
+
+
+def repository_key(c: Column, hosts: tuple[str, ...] = CODE_HOSTS) -> Column:
+    """``owner/name`` in lower case of an identifier or URL of a repository on one of ``hosts``; null if it names none."""
+    path = F.regexp_replace(F.lower(_trim(c)), r"^(?:git\+)?(?:[a-z][a-z+.]*://)?(?:[^/@\s]+@)?(?:www\.)?" + host_pattern(hosts) + r"(?::\d+/|[:/])/*", "")
     path = F.regexp_replace(path, r"[?#].*$", "")
     got = F.regexp_extract(path, r"^/*([^/\s:]+)\s*/+\s*([^/\s:]+?)(?:\.git)?(?:/.*)?$", 0)
     owner = F.regexp_extract(path, r"^/*([^/\s:]+)\s*/+\s*([^/\s:]+?)(?:\.git)?(?:/.*)?$", 1)
@@ -60,15 +66,19 @@ def homepage_value(c: Column) -> Column:
     return F.when((host != "") & named & ~local, F.concat(F.regexp_replace(host, r"^www\.", ""), path))
 
 
-def surviving_fields(records: DataFrame, half_life_days: float = 90.0) -> DataFrame:
+FIELDS = ["license", "homepage", "fetched_at"]
+
+
+def surviving_fields(records: DataFrame, decide: str = "votes", half_life_days: float = 90.0) -> DataFrame:
     """The surviving value of each field of each repository.
 
     Returns ``entity_key, field_name, rows, record_id, value, original, seen_at, votes, share``: ``rows`` counts the
     records of the repository, ``record_id`` is the row whose value survives, ``votes`` the summed trust times decay of
     all rows that agree with it and ``share`` its part of all votes of the field.
 
-    TESTDATA.md orders the rows with a usable value by trust, then by valid ``fetched_at``, then by the smaller
-    ``record_id``; that order decides, and the votes measure the agreement. A ``fetched_at`` that is null, before
+    ``decide="votes"`` chooses the value with the most votes, to nine digits; ``"trust"`` the value of the row with the
+    highest trust, as TESTDATA.md orders them: by trust, then by valid ``fetched_at``, then by the smaller ``record_id``.
+    That order also settles even votes, and chooses the row among those with the surviving value. A ``fetched_at`` that is null, before
     ``created_at`` or after ``ingested_at`` is not valid: it ranks last and votes without a decay bonus (weight 0.25).
     Rows without a repository key are left out; a null ``record_id`` loses to any other; null trust counts as 0 in
     votes and ranks last; repeated rows each vote; an empty table gives an empty result. Every aggregate is combined
@@ -105,10 +115,13 @@ def surviving_fields(records: DataFrame, half_life_days: float = 90.0) -> DataFr
         F.max_by(F.struct("record_id", "original", "seen"), rank).alias("row"),
         F.max(rank).alias("rank"),
     )
+    if decide not in ("votes", "trust"):
+        raise ValueError("decide by votes or trust")
     usable = F.col("value").isNotNull()
+    key = F.struct(F.round("votes", 9), "rank", "value") if decide == "votes" else F.struct("rank", "value")
     best = per_value.groupBy("entity_key", "field_name").agg(
         F.sum("rows").alias("rows"),
-        F.max_by(F.struct("row", "value", "votes"), F.when(usable, F.struct("rank", "value"))).alias("best"),
+        F.max_by(F.struct("row", "value", "votes"), F.when(usable, key)).alias("best"),
         F.sum(F.when(usable, F.col("votes"))).alias("all_votes"),
         F.max(usable).alias("any"),
     )
@@ -119,13 +132,20 @@ def surviving_fields(records: DataFrame, half_life_days: float = 90.0) -> DataFr
     )
 
 
-def golden_records(records: DataFrame) -> DataFrame:
-    """One record per repository: its surviving ``license``, ``homepage`` and ``fetched_at`` with the share of votes behind each."""
-    fields = ["license", "homepage", "fetched_at"]
-    wide = surviving_fields(records).groupBy("entity_key").pivot("field_name", fields).agg(F.max("value").alias("value"), F.max("share").alias("share"))
-    return wide.select("entity_key", *[F.col(f"{f}_value").alias(f) for f in fields], *[F.col(f"{f}_share").alias(f"{f}_share") for f in fields])
+def golden_records(records: DataFrame, decide: str = "votes") -> DataFrame:
+    """One record per repository: its surviving ``license``, ``homepage`` and ``fetched_at``, with the share of votes behind each and the row that has it.
+
+    ``rows`` counts the rows of the repository. A field that no row has is null, as are its share and row.
+    """
+    wide = surviving_fields(records, decide).groupBy("entity_key").pivot("field_name", FIELDS)
+    wide = wide.agg(F.max("value").alias("value"), F.max("share").alias("share"), F.max("record_id").alias("record"), F.max("rows").alias("rows"))
+    return wide.select(
+        "entity_key", F.greatest(*[F.col(f"{f}_rows") for f in FIELDS]).alias("rows"), *[F.col(f"{f}_value").alias(f) for f in FIELDS], *[F.col(f"{f}_share").alias(f"{f}_share") for f in FIELDS],
+        *[F.col(f"{f}_record").alias(f"{f}_record") for f in FIELDS],
+    )
 
 
 def found(records: DataFrame) -> DataFrame:
     """p1_found: the row whose licence or homepage survives, for each repository of two or more rows."""
-    return surviving_fields(records).where("rows >= 2 and field_name in ('license', 'homepage')").select("entity_key", "field_name", "record_id")
+    g = golden_records(records, "trust").where("rows >= 2")
+    return g.selectExpr("entity_key", "stack(2, 'license', license_record, 'homepage', homepage_record) as (field_name, record_id)").where("record_id is not null")
