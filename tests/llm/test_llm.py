@@ -97,6 +97,16 @@ def test_unified_rows_stay_whole(spark):
     assert glyphs.with_unified(df.limit(0), ["text"]).count() == 0
 
 
+def test_unified_texts_of_very_many_rows(spark, monkeypatch):
+    from tidemark.plans import shared
+
+    monkeypatch.setattr(glyphs, "join_by_value", lambda *a: shared.join_by_value(*a, most=3))
+    rows = [(i, "ａ ｂ" if i % 3 else f"ａ {i}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id bigint, title string, summary string")
+    assert rows_of(glyphs.with_unified(df, ["title"]).select("record_id", "title")) == sorted([(i, t.replace("ａ", "a").replace("ｂ", "b")) for i, t, _ in rows], key=str)
+    assert glyphs.found(df).count() == 60
+
+
 # ---- 2
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.shared import join_by_value, park, partitions
+
 #: Letters of other scripts that look like a plain letter, each followed by that letter.
 LOOK_ALIKES = (
     "аa вb еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵv"  # Cyrillic small
@@ -92,6 +94,8 @@ def unify_segments(segments: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(mapping_rows(), "ch string, full string, ccc int, joiner boolean"))
     alike = F.broadcast(spark.createDataFrame([(x[0], x[1:]) for x in LOOK_ALIKES], "cluster string, plain string"))
     key = ["segment", "alone"]
+    # spread before the explode, as a short list of segments would else be worked on in one place
+    segments = segments.select(*key).repartition(partitions(spark), *key)
     points = segments.select(*key, F.posexplode(F.expr("regexp_extract_all(segment, '(?s).', 0)")).alias("pos", "ch")).join(table, "ch", "left")
     by_pos = Window.partitionBy(*key).orderBy("pos")
     before = F.lag("ch").over(by_pos)
@@ -150,21 +154,27 @@ def needs_work(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x00-\x7F]") & (F.translate(text, relevant_characters(), "") != text), F.lit(False))
 
 
-def unify_dictionary(texts: DataFrame) -> DataFrame:
-    """``text, unified`` for each distinct ``text`` that needs work.
+class Dictionary:
+    """The consistent form of texts: ``counts`` (text, n) of the texts that need work, and ``forms`` (text, unified) of those that differ from it.
 
-    Null and empty texts and texts without such characters give no row. Only segments with such a character are
+    Null and empty texts and texts without mapped characters have no row. Only segments with such a character are
     exploded, and each distinct one once, so that a word repeated in a third of all texts is one row.
     """
-    todo = texts.where(needs_work(F.col("text"))).select("text").distinct()
-    todo = todo.select("text", _alone(F.col("text")).alias("alone"), F.expr(f"regexp_extract_all(text, '{_SPLIT}', 0)".replace("\\", "\\\\")).alias("parts"))
-    hit = F.filter("parts", needs_work)
-    words = todo.select("text", "alone", F.explode(F.array_distinct(hit)).alias("segment"))
-    unified = unify_segments(words.select("segment", "alone").distinct())
-    got = words.join(unified, ["segment", "alone"]).where("segment <> unified")
-    got = got.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("segment", "unified"))).alias("m"))
-    parts = F.expr(f"regexp_extract_all(text, '{_SPLIT}', 0)".replace("\\", "\\\\"))
-    return got.select("text", F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("m", p), p)), "").alias("unified"))
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.counts = park(texts.where(needs_work(F.col("text"))).groupBy("text").agg(F.count(F.lit(1)).alias("n")), "glyphs-texts")
+        parts = F.expr(f"regexp_extract_all(text, '{_SPLIT}', 0)".replace("\\", "\\\\"))
+        todo = self.counts.select("text", _alone(F.col("text")).alias("alone"), parts.alias("parts"))
+        words = todo.select("text", "alone", F.explode(F.array_distinct(F.filter("parts", needs_work))).alias("segment"))
+        segments = park(words.groupBy("segment", "alone").agg(F.count(F.lit(1)).alias("n")), "glyphs-segments")
+        unified = unify_segments(segments).where("segment <> unified")
+        got = join_by_value(words, unified, ["segment", "alone"], segments, F.col("text"))
+        got = got.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("segment", "unified"))).alias("m"))
+        self.forms = got.select("text", F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("m", p), p)), "").alias("unified"))
+
+    def join(self, rows: DataFrame, spread: Column, how: str) -> DataFrame:
+        """``rows`` with a column ``text`` joined with ``forms``; a text of very many rows is spread by ``spread``."""
+        return join_by_value(rows, self.forms, ["text"], self.counts, spread, how)
 
 
 def unify_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -175,7 +185,7 @@ def unify_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     pairs = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
     long = rows.select(F.col(key).alias("key"), *fields).selectExpr("key", f"stack({len(fields)}, {pairs}) as (field_name, text)").where(needs_work(F.col("text")))
-    return long.join(unify_dictionary(long), "text").select(F.col("key").alias(key), "field_name", "text", "unified")
+    return Dictionary(long).join(long, F.col("key"), "inner").select(F.col("key").alias(key), "field_name", "text", "unified")
 
 
 def with_unified(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -183,10 +193,10 @@ def with_unified(rows: DataFrame, fields: list[str]) -> DataFrame:
     out = rows
     for f in fields:
         need = needs_work(F.col(f))
-        hard = out.where(need)
-        form = unify_dictionary(hard.select(F.col(f).alias("text"))).withColumnRenamed("text", "__text").withColumnRenamed("unified", "__unified")
-        hard = hard.join(form, hard[f] == form["__text"], "left").withColumn(f, F.coalesce("__unified", f)).drop("__text", "__unified")
-        out = out.where(~need).unionByName(hard)
+        hard = out.where(need).select(F.struct(*[F.col(c) for c in out.columns]).alias("row"), F.col(f).alias("text"))
+        got = Dictionary(hard).join(hard, F.col("row"), "left")
+        got = got.select(*[F.coalesce("unified", f"row.{c}").alias(c) if c == f else F.col("row").getField(c).alias(c) for c in out.columns])
+        out = out.where(~need).unionByName(got)
     return out
 
 

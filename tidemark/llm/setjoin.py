@@ -58,8 +58,7 @@ def readable(rows: DataFrame, key: str, columns: list[str], name: str) -> DataFr
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text_of(*columns).alias("text"))
     need = glyphs.needs_work(F.col("text"))
     hard = park(rows.where(need), name)  # a small part, read twice below
-    form = glyphs.unify_dictionary(hard).select(F.col("text").alias("was"), "unified")
-    hard = hard.join(form, hard["text"] == form["was"], "left").select("id", F.coalesce("unified", "text").alias("text"))
+    hard = glyphs.Dictionary(hard).join(hard, F.col("id"), "left").select("id", F.coalesce("unified", "text").alias("text"))
     return rows.where(~need).unionByName(park(hard, name))
 
 
