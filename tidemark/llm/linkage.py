@@ -118,7 +118,7 @@ def link(arxiv_records: DataFrame, github_records: DataFrame, tolerance: float =
     """
     r = park(repositories(github_records), "linkage-repositories")
     totals = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("name")).alias("longest")).first()
-    p = park(papers(arxiv_records, max(1, totals["longest"] or 1)), "linkage-papers")
+    p = park(papers(arxiv_records, 1 + (totals["longest"] or 0)), "linkage-papers")  # a name may be one letter short
     none = F.array().cast("array<string>")
     base_count = p.select("base").distinct().count()
     # the fewer titles hold a name, the more it says
