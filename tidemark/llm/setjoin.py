@@ -252,10 +252,14 @@ class Comparer:
         if len(e) < 2 or self.only_new and not (e["n"] & NEW).any():
             return
         n, pos = (e["n"] & ~NEW).astype(np.int64), e["pos"].astype(np.int64)
+        order = np.argsort(n, kind="stable")  # every group is in order of size
         if tail is None or len(e) <= self.split:
             # the words that are shared so far and all that come after
-            self._put(e, np.arange(len(e)), np.array([len(e)]), n - pos + (tail is None))
+            self._put(e, order, np.array([len(e)]), (n - pos + (tail is None))[order])
             return
+        length = merged(n, self.threshold)[1] - pos - 1
+        tail = tail[_ranges((np.cumsum(length) - length)[order], length[order])]
+        e, n, pos = e[order], n[order], pos[order]
         tiny, code, row, pos2 = second_words(e, tail, self.threshold)
         if len(tiny) > 1:
             self._put(e, tiny, np.array([len(tiny)]), (n - pos)[tiny])
@@ -276,49 +280,38 @@ class Comparer:
                 self.flush()
 
     def flush(self) -> None:
-        """Compare all that waits: groups in order of size, each item with the one ``d`` places further for every ``d``."""
+        """Compare all that waits: every item with the one ``d`` places further in its group, for every ``d`` that its place allows."""
         if not self.waiting:
             return
-        *columns, sizes = (np.concatenate(c) for c in zip(*self.waiting))
+        ids, s0, s1, size, left, sizes = (np.concatenate(c) for c in zip(*self.waiting))
         self.waiting, self.items = [], 0
-        start = np.cumsum(sizes) - sizes
-        order = np.argsort(-sizes, kind="stable")
-        # groups that together have about ITEMS items at once; a larger group alone
-        batch = (np.cumsum(sizes[order]) - sizes[order]) // self.ITEMS
-        for group in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
-            at = _ranges(start[group], sizes[group])
-            self._sweep(*(c[at] for c in columns), sizes[group])
-
-    def _sweep(self, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray, left: np.ndarray, sizes: np.ndarray) -> None:
-        fresh, n = (n & NEW) > 0, (n & ~NEW).astype(np.int64)
+        fresh, n = (size & NEW) > 0, (size & ~NEW).astype(np.int64)
         # half of what a pair may differ in, up to what a sketch can show
         q = np.minimum(32 * SKETCH, np.ceil(self.a_diff * n)).astype(np.uint8)
-        end = np.cumsum(sizes)
-        last = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "left")  # groups with more than d items
-        total = len(ids)
-        bits, one, two, bound = np.empty(total, np.uint64), np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.uint8)
-        hit = np.empty(-(-total // 8) * 8, bool)
-        found = []
-        for d in range(1, int(sizes[0])):
-            m = int(end[last[d - 1] - 1]) - d
-            x, c1, c2, b = bits[:m], one[:m], two[:m], bound[:m]
-            np.bitwise_xor(s0[:m], s0[d : d + m], out=x)
-            np.bitwise_count(x, out=c1)
-            np.bitwise_xor(s1[:m], s1[d : d + m], out=x)
-            np.bitwise_count(x, out=c2)
-            np.add(c1, c2, out=c1)
-            np.add(q[:m], q[d : d + m], out=b)
-            pad = -(-m // 8) * 8
-            hit[m:pad] = False
-            np.less_equal(c1, b, out=hit[:m])
-            eights = np.flatnonzero(hit[:pad].view(np.uint64))
-            if len(eights):
-                u = (eights[:, None] * 8 + np.arange(8)).ravel()
-                u = u[hit[u]]
-                found.append(np.stack([u, u + d]))
-                if len(found) > 64:
+        # the largest set that so much overlap suffices for; a set that this leaves without a partner of its own size meets smaller ones only
+        most = np.floor(left / self.a_sum - n + 1e-9).astype(np.int64)
+        group = np.repeat(np.arange(len(sizes)) << 32, sizes)
+        key, limit = np.append(group + n, np.iinfo(np.int64).max), group + most
+        at = np.flatnonzero(most >= n)
+        x0, x1, xq, end = s0[at], s1[at], q[at], limit[at]
+        found, waiting, d = [], 0, 0
+        while len(at):
+            d += 1
+            to = np.minimum(at + d, len(ids))
+            ok = key[to] <= end
+            if np.count_nonzero(ok) < 0.9 * len(ok):
+                at, to, x0, x1, xq, end = at[ok], to[ok], x0[ok], x1[ok], xq[ok], end[ok]
+                ok = slice(None)
+            to = np.minimum(to, len(ids) - 1)
+            bits = np.bitwise_count(x0 ^ s0[to])
+            bits += np.bitwise_count(x1 ^ s1[to])
+            hit = np.flatnonzero(bits <= xq + q[to])
+            if len(hit):
+                found.append(np.stack([at[hit], to[hit]]))
+                waiting += len(hit)
+                if waiting > 1 << 16:
                     self._check(np.concatenate(found, axis=1), ids, s0, s1, n, left, fresh)
-                    found = []
+                    found, waiting = [], 0
         if found:
             self._check(np.concatenate(found, axis=1), ids, s0, s1, n, left, fresh)
 
