@@ -38,7 +38,7 @@ class History:
     """
 
     SCHEMAS = {
-        "frequent": "rank int, word string", "lists": "word bigint, m int, list binary, tail binary, slot int", "sets": "rep bigint, codes binary, item_key string, slot int",
+        "frequent": "rank int, word binary", "lists": "word bigint, m int, list binary, tail binary, slot int", "sets": "rep bigint, codes binary, item_key string, slot int",
         "ids": "key string, seq bigint, item_key string, slot int", "items": "item_key string, item_id string, first_seen timestamp_ntz, edition_count bigint, version bigint, slot int",
     }
     #: Folders of a table. A batch whose keys fall into few of them leaves the others unread.
@@ -47,9 +47,9 @@ class History:
     def __init__(self, spark: SparkSession, threshold: float = 0.6, path: str | None = None) -> None:
         self.spark, self.threshold = spark, threshold
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.frequent: list[str] = []
+        self.frequent: list[bytes] = []
         if path:  # a history that is opened again goes on with the codes of its stored sets
-            self.frequent = [r["word"] for r in self.table("frequent").orderBy("rank").collect()]
+            self.frequent = [bytes(r["word"]) for r in self.table("frequent").orderBy("rank").collect()]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/{name}")
@@ -77,7 +77,7 @@ class History:
         rows = rows.where("seq is not null").withColumn("key", key).withColumn("item_key", F.coalesce(key, F.concat(F.lit("#"), F.col("seq"))))
         texts = setjoin.readable(rows, "seq", ["name", "summary"], "history-texts")
         h.frequent = setjoin.frequent_words(texts)
-        h.spark.createDataFrame(list(enumerate(h.frequent)), "rank int, word string").coalesce(1).write.parquet(f"{h.path}/frequent")
+        h.spark.createDataFrame(list(enumerate(h.frequent)), "rank int, word binary").coalesce(1).write.parquet(f"{h.path}/frequent")
         reps = park(setjoin.classes(setjoin.encode(texts, h.frequent)), "history-classes")
         owner = rows.groupBy("seq").agg(F.min("item_key").alias("item_key")).withColumnRenamed("seq", "rep")
         h._add_sets(reps.join(owner, "rep"))

@@ -62,16 +62,17 @@ def readable(rows: DataFrame, key: str, columns: list[str], name: str) -> DataFr
     return rows.where(~need).unionByName(park(hard, name))
 
 
-#: Plain characters that are no letter or digit, to spaces: a faster way to the same words where a text is plain.
-_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Plain characters in lower case, those that are no letter or digit as spaces: a faster way to the same words where a text is plain.
+_PLAIN = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
-def _words(text: str) -> set[str]:
-    text = text.lower()
-    return set(text.translate(_PLAIN).split() if text.isascii() else _WORD.findall(text))
+def _words(text: str) -> set[bytes]:
+    if text.isascii():
+        return set(text.encode().translate(_PLAIN).split())
+    return {w.encode() for w in _WORD.findall(text.lower())}
 
 
-def frequent_words(texts: DataFrame, part: float = FREQUENT) -> list[str]:
+def frequent_words(texts: DataFrame, part: float = FREQUENT) -> list[bytes]:
     """The frequent words, rarest first. Counted over all texts; counts are combined before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,24 +84,24 @@ def frequent_words(texts: DataFrame, part: float = FREQUENT) -> list[str]:
             if len(c) > 500_000:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
                 c.clear()
-        c[""] += n
+        c[b""] += n
         yield pd.DataFrame({"word": list(c), "n": list(c.values())})
 
-    counts = park(texts.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
-    n = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    counts = park(texts.select("text").mapInPandas(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
+    n = counts.where("word = X''").agg(F.sum("n")).first()[0] or 0
     # bounded: see FREQUENT
-    often = counts.where(F.col("word") != "").where(F.col("n") >= max(2, math.ceil(part * n))).orderBy("n", "word").select("word").toPandas()
-    return often["word"].tolist()
+    often = counts.where("word <> X''").where(F.col("n") >= max(2, math.ceil(part * n))).orderBy("n", "word").select("word").toPandas()
+    return [bytes(w) for w in often["word"]]
 
 
 class Coder:
     """Words to numbers in the order of the search: rare ones are negative hashes, frequent ones their rank."""
 
-    def __init__(self, frequent: list[str]) -> None:
+    def __init__(self, frequent: list[bytes]) -> None:
         import xxhash
 
         class Memo(dict):
-            def __missing__(self, w: str) -> int:
+            def __missing__(self, w: bytes) -> int:
                 if len(self) > 2_000_000:
                     self.clear()
                     self.update(base)
@@ -121,7 +122,7 @@ class Coder:
         return struct.pack("<I", k) + array("q", codes[:k]).tobytes() + array(self.rank, codes[k:]).tobytes()
 
 
-def _rank(frequent: list[str]) -> np.dtype:
+def _rank(frequent: list[bytes]) -> np.dtype:
     return np.dtype("<u2") if len(frequent) < 1 << 16 else np.dtype("<u4")
 
 
@@ -138,7 +139,7 @@ def unpack(packed: list[bytes], rank: np.dtype) -> tuple[np.ndarray, np.ndarray]
     return flat, n
 
 
-def encode(texts: DataFrame, frequent: list[str]) -> DataFrame:
+def encode(texts: DataFrame, frequent: list[bytes]) -> DataFrame:
     """``id, h1, h2, codes``: equal sets have equal ``h1, h2``. Texts without words are left out: they share no word."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(frequent)
@@ -173,7 +174,7 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
-def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool = False) -> DataFrame:
+def entries(reps: DataFrame, frequent: list[bytes], threshold: float, new: bool = False) -> DataFrame:
     """The short lists, in pieces: ``word, list, tail`` with the entries of the sets that have the word among their first.
 
     ``tail`` holds for each entry the words after this one that take part in the merge, hashed to 16 bits: words with
@@ -210,7 +211,7 @@ def entries(reps: DataFrame, frequent: list[str], threshold: float, new: bool =
     return reps.select("rep", "codes").mapInPandas(run, "word bigint, m int, list binary, tail binary")
 
 
-def list_sizes(reps: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
+def list_sizes(reps: DataFrame, frequent: list[bytes], threshold: float) -> DataFrame:
     """``word, m``: how many entries the short lists will have."""
     rank = _rank(frequent)
 
@@ -401,7 +402,7 @@ def _pairs(out: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"a": p[0], "b": p[1]})
 
 
-def verify(pairs: DataFrame, reps: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, frequent: list[bytes], threshold: float) -> DataFrame:
     """``a, b, similarity`` of the pairs whose sets share at least ``threshold`` of their union."""
     rank = _rank(frequent)
     sets = reps.select("rep", "codes")
