@@ -210,3 +210,79 @@ def test_consumer_cascade(spark):
     assert got == {1: ("c1", "declared"), 2: ("c2", "agent and address"), 3: (None, None), 4: ("c4", "agent"), 5: ("c3", "address"), 6: (None, None)}
     x = spark.range(1).select(cascade.client_ip(F.lit(" ::FFFF:1.2.3.4, 5.6.7.8"), F.lit(None), F.lit("9.9.9.9")).alias("a"), cascade.client_ip(F.lit(None).cast("string"), F.lit('for="[fe80::1%eth0]"'), F.lit("9.9.9.9")).alias("b")).first()
     assert (x["a"], x["b"]) == ("1.2.3.4", "fe80::1")
+
+
+def test_storylines_that_meet(spark):
+    """Items under one link in an edition: a story that begins there is a fork, others are merged into the oldest."""
+    url = {"source_url": "https://a.example/shared"}
+    rows = [
+        item(1, "alpha planner", 1, source_url="https://a.example/1"), item(2, "bravo engine", 2, source_url="https://a.example/2"), item(3, "charlie router", 3, source_url="https://a.example/3"),
+        item(4, "alpha planner", 5, **url), item(5, "bravo engine", 5, **url), item(6, "charlie router", 5, **url),
+        item(7, "alpha planner", 6, source_url="https://b.example/x"), item(8, "delta cache", 6, source_url="https://b.example/x"), item(9, "alpha planner kit", 7, source_url="https://c.example/"),
+    ]
+    items = frame(spark, rows)
+    stories = storylines.assigned(items)
+    assert {r["item_id"]: (r["storyline"], r["how"]) for r in stories.collect()}["alpha planner kit"] == ("alpha planner", "joined")
+    got = {(r["target"], r["source"], r["kind"]) for r in storylines.links(items, stories).collect()}
+    assert got == {("alpha planner", "bravo engine", "merge"), ("alpha planner", "charlie router", "merge"), ("alpha planner", "delta cache", "fork")}
+    assert {r["storyline"]: r["into"] for r in storylines.merged(items, stories).collect()} == {"bravo engine": "alpha planner", "charlie router": "alpha planner"}
+    assert [r["storyline"] for r in storylines.active(items, stories, "2026-01-13 21:00:00").collect()] == ["alpha planner"]
+    assert storylines.assigned(items.limit(0)).count() == 0
+
+
+def test_lives_of_sources():
+    from tidemark.operators.discovery import Life
+
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+
+    def run(status, scores, seed=False):
+        life, out = Life(status, seed), []
+        for n, s in enumerate(scores):
+            life.step(day(n), s)
+            out.append((life.state, life.reason))
+        return out
+
+    assert run("approved", [70, 60, 61])[-1] == ("active", "promoted")
+    # a low score clears what was reached; a day without a sighting does not, but it leaves the window
+    assert run("approved", [70, 59, 70, 70])[-1] == ("probation", None) and run("approved", [70, None, 70, 70])[-1] == ("probation", None)
+    assert run("approved", [70, 70, 70, None, 10, None])[-1] == ("retired", "low_signal")
+    assert run("retired", [None, 10, 80])[-1] == ("probation", "restored")
+    assert run("candidate", [80, 80, 80, 80])[-1] == ("candidate", None) and run("retired", [None], seed=True) == [("active", None)]
+
+
+def test_same_things(spark):
+    """Aliases need two types between them and are not used between different repositories."""
+    from tidemark.operators import identity
+
+    rows = [
+        (1, "Widget Flow", "https://github.com/one/widget-flow"), (2, "Widget Flow", "https://blog.example/posts/widget-flow"), (3, "Widget Flow", "https://github.com/two/widget-flow"),
+        (4, "Unrelated", "https://other.example/notes/widget-flow"), (5, "Widget Flow", "https://name.example/"), (6, "x", "https://www.Other.example/notes/widget-flow/?utm_source=y"),
+    ]
+    df = spark.createDataFrame([(i, t, u, None, None, "tool") for i, t, u in rows], "record_id bigint, title string, source_url string, source_urls array<string>, outbound_urls array<string>, category string")
+    edges = {(r["a"], r["b"]) for r in identity.same_things(identity.record_signals(df)).collect()}
+    assert (6, 4) in edges and (2, 1) in edges and (3, 2) in edges and (3, 1) not in edges and not any(5 in e for e in edges)
+    assert identity.identity_groups(df.limit(0)).count() == 0
+
+
+def test_exclusion_filters():
+    import pytest
+
+    from tidemark.operators.exclusions import Filters
+
+    f = Filters.parse({"days": "3", "reason": "a", "reason_code": "b", "source_kind": " web ", "unknown": "x", "phase": ""}, "2026-01-01")
+    assert (f.days, f.reason, f.source_kind, f.phase) == (3, "b", "web", None)
+    with pytest.raises(ValueError):
+        Filters.parse({"days": "0"}, "2026-01-01")
+
+
+def test_scores_of_representative_items(spark):
+    """Four inputs with known scores: 89, 80, 73 and 57."""
+    from tidemark.functions import scoring as S
+
+    rows = [(2.0, 94.0, 5, 6200, 90.0, 260), (6.0, 90.0, 3, None, None, 140), (12.0, 96.0, 2, None, None, 35), (1.0, 25.0, 1, None, None, 800)]
+    df = spark.createDataFrame(rows, "hours double, authority double, mentions int, stars int, activity double, social int")
+    parts = {
+        "recency": S.recency(F.col("hours")), "authority": F.col("authority"), "mentions": S.saturating(F.col("mentions"), 8),
+        "github": S.github_signal(F.col("stars"), F.col("activity")), "social": S.saturating(F.col("social"), 1000),
+    }
+    assert [r[0] for r in df.select(S.relevance(parts)).collect()] == [89.0, 80.0, 73.0, 57.0]

@@ -19,7 +19,15 @@ def is_url(c: Column) -> Column:
 
 
 def host(c: Column) -> Column:
-    return F.regexp_replace(F.lower(_part(c, 2)), r"^.*@|:(?:80|443)?$", "")
+    """Host and port without what stands before ``@``; a port is left out where it is that of the scheme."""
+    h = F.regexp_replace(F.lower(_part(c, 2)), r"^.*@|:$", "")
+    scheme = F.lower(_part(c, 1))
+    return F.when(scheme == "http", F.regexp_replace(h, ":80$", "")).when(scheme == "https", F.regexp_replace(h, ":443$", "")).otherwise(h)
+
+
+def user(c: Column) -> Column:
+    """What stands before the host, with its ``@``."""
+    return F.regexp_extract(_part(c, 2), r"^(.*@)", 1)
 
 
 def path(c: Column) -> Column:
@@ -46,7 +54,7 @@ def _untracked(k: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """Without fragment and trailing slashes, parameters sorted by key; null if it is no URL."""
-    return F.when(is_url(c), F.concat(F.lower(_part(c, 1)), F.lit("://"), host(c), _trimmed(path(c)), _query(c, lambda k: F.lit(True))))
+    return F.when(is_url(c), F.concat(F.lower(_part(c, 1)), F.lit("://"), user(c), host(c), _trimmed(path(c)), _query(c, lambda k: F.lit(True))))
 
 
 def dedupe_key(c: Column) -> Column:
@@ -72,7 +80,8 @@ def source_cluster(c: Column) -> Column:
     """The source that a URL counts for: its host, on account hosts the account; null if it is no URL."""
     h = F.regexp_replace(host(c), r"^www\.", "")
     on_account = h.isin(*P.ACCOUNT_HOSTS)
-    return F.when(is_url(c), F.when(on_account & account(c).isNotNull(), F.concat(F.lit("x:account:"), account(c))).when(on_account, "x:domain:x").otherwise(h))
+    named = account(c).isNotNull() & ~account(c).isin(*P.RESERVED_ACCOUNTS)
+    return F.when(is_url(c), F.when(on_account & named, F.concat(F.lit("x:account:"), account(c))).when(on_account, "x:domain:x").otherwise(h))
 
 
 def source_candidate(c: Column) -> Column:
@@ -80,7 +89,8 @@ def source_candidate(c: Column) -> Column:
     h = F.regexp_replace(host(c), r"^www\.", "")
     kind = F.when(h.rlike(r"(?:^|\.)github\."), "github").when(h.rlike(r"(?:^|\.)arxiv\."), "arxiv").when(h.rlike(r"(?:^|\.)reddit\."), "reddit").otherwise("web")
     usable = is_url(c) & F.lower(_part(c, 1)).isin("http", "https") & ~h.isin(*P.IGNORED_DOMAINS)
-    return F.when(usable, F.when(h.isin(*P.ACCOUNT_HOSTS), F.concat(F.lit("x:account:"), account(c))).otherwise(F.concat(kind, F.lit(":domain:"), h)))
+    handle = F.when(account(c).rlike("^[a-z0-9_]{1,15}$") & ~account(c).isin(*P.RESERVED_ACCOUNTS), account(c))
+    return F.when(usable, F.when(h.isin(*P.ACCOUNT_HOSTS), F.concat(F.lit("x:account:"), handle)).otherwise(F.concat(kind, F.lit(":domain:"), h)))
 
 
 def repository(c: Column) -> Column:
@@ -102,3 +112,17 @@ def specificity(c: Column) -> Column:
     """Ten for each segment of the path and one for each parameter."""
     segments = F.size(F.filter(F.split(path(c), "/"), lambda s: s != ""))
     return 10 * segments + F.size(F.filter(F.split(F.regexp_replace(_part(c, 4), r"^\?", ""), "&"), lambda s: s != ""))
+
+
+def path_quality(c: Column) -> Column:
+    """Six for each part of the path that leads to documentation, up to 18; with a part that leads elsewhere at most minus what is left of 20."""
+    parts = F.filter(F.transform(F.split(path(c), "/"), lambda s: F.lower(F.trim(s))), lambda s: s != "")
+    among = lambda words: F.size(F.filter(parts, lambda s: s.isin(*words)))
+    high, low = among(P.HIGH_VALUE_SEGMENTS), among(P.LOW_VALUE_SEGMENTS)
+    return F.when(low > 0, F.greatest(F.lit(-20), 4 * high - 20)).otherwise(F.least(6 * high, F.lit(18)))
+
+
+def links_of(urls: Column, *texts: Column) -> Column:
+    """The links that are listed and those that stand in texts, each once in its form for discovery."""
+    found = F.concat(*[F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"https?://[^\s<>\"')\]]+"), 0) for t in texts])
+    return F.array_compact(F.array_distinct(F.transform(F.concat(F.coalesce(urls, F.array().cast("array<string>")), found), discovery)))

@@ -15,7 +15,9 @@ def appearances(items: DataFrame) -> DataFrame:
     return items.join(keep, "appearance_id", "left_semi")
 
 
-def latest_edition(items: DataFrame) -> DataFrame:
+def latest_edition(items: DataFrame, now: str) -> DataFrame:
+    """The newest edition that is not in the future."""
+    items = items.where(F.col("published_at") <= F.lit(now).cast("timestamp_ntz"))
     top = items.agg(F.max("published_at").alias("published_at"))
     return items.join(F.broadcast(top), "published_at")  # one row
 
@@ -103,10 +105,3 @@ def union_of_editions(*parts: DataFrame) -> DataFrame:
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     keep = out.groupBy("item_id", "edition_id").agg(F.max(F.struct("part", "appearance_id")).alias("k")).select("k.part", "k.appearance_id")
     return out.join(keep, ["part", "appearance_id"], "left_semi")
-
-
-def resolved(items: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows with an exactly known id: carried first sight, editions so far plus one."""
-    state = items.where("item_id is not null").groupBy("item_id").agg(F.min("first_seen").alias("known_since"), F.countDistinct("edition_id").alias("editions"))
-    j = incoming.select("incoming_id", "item_id", "first_seen").join(state, "item_id", "left")
-    return j.select("incoming_id", F.coalesce("known_since", "first_seen").alias("first_seen"), (F.coalesce("editions", F.lit(0)) + 1).alias("edition_count"), F.col("editions").isNotNull().alias("tracked"))

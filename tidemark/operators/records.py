@@ -27,7 +27,7 @@ def signals(records: DataFrame) -> DataFrame:
     m = F.col("metrics")
     social = m["upvotes"] + m["comments"] + m["shares"]
     return records.select(
-        "record_id", "source_id", "source_type", "title", "source_url", "category", "published_at", "fetched_at", "source_authority",
+        "record_id", "adapter_id", "source_id", "source_type", "title", "source_url", "category", "published_at", "fetched_at", "source_authority",
         F.coalesce(m["mentions"], F.lit(1)).alias("mention_count"),
         F.when(F.col("published_at").isNotNull(), S.recency(hours.cast("double"))).alias("recency"),
         S.clamp(T.round_half_up(F.col("source_authority"))).alias("authority"),
@@ -67,7 +67,7 @@ def exclusions(records: DataFrame, sources: DataFrame) -> DataFrame:
     g = gated(records, sources).where("reason is not null")
     return g.select(
         edition_day(F.col("fetched_at")).alias("edition"), F.coalesce(T.slug(F.col("title")), F.lit("-")).alias("item"), F.col("title").alias("name"),
-        F.coalesce("category", F.lit("technique")).alias("category"), F.col("source_type").alias("kind"), "reason", F.col("fetched_at").alias("ts"), "record_id",
+        F.coalesce("category", F.lit("technique")).alias("category"), F.col("source_type").alias("kind"), "reason", F.col("fetched_at").alias("ts"), "record_id", "adapter_id",
     )
 
 
@@ -120,11 +120,9 @@ def totals(e: DataFrame) -> DataFrame:
 
 def summary_sets(e: DataFrame) -> DataFrame:
     """Counts by category, by reason, by both and over all, in one pass."""
-    e.createOrReplaceTempView("_exclusions")
-    return e.sparkSession.sql(
-        "select category, reason, cast(grouping(category) as int) as all_categories, cast(grouping(reason) as int) as all_reasons, count(*) as n"
-        " from _exclusions group by grouping sets ((category), (reason), (category, reason), ())"
-    )
+    sets = e.groupingSets([["category"], ["reason"], ["category", "reason"], []], "category", "reason")
+    got = sets.agg(F.grouping("category").cast("int").alias("all_categories"), F.grouping("reason").cast("int").alias("all_reasons"), F.count(F.lit(1)).alias("n"))
+    return got.select("category", "reason", "all_categories", "all_reasons", "n")
 
 
 def edition_report(records: DataFrame, sources: DataFrame) -> DataFrame:

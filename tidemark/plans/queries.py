@@ -76,9 +76,10 @@ def _u(k: int, c: str = "u") -> str:
     return f"regexp_extract(trim({c}), {_URL}, {k})"
 
 
+_HOST = "regexp_replace(regexp_replace(lower({h}), '^.*@', ''), case lower({s}) when 'http' then ':(80)?$' when 'https' then ':(443)?$' else ':$' end, '')"
 _URLS = f"""
 parts as (
-  select record_id, source_url as u, lower({_u(1, "source_url")}) as scheme, regexp_replace(regexp_replace(lower({_u(2, "source_url")}), '^.*@', ''), ':(?:80|443)?$', '') as host,
+  select record_id, source_url as u, lower({_u(1, "source_url")}) as scheme, {_HOST.format(h=_u(2, "source_url"), s=_u(1, "source_url"))} as host, regexp_extract({_u(2, "source_url")}, '^(.*@)', 1) as usr,
     case when {_u(3, "source_url")} = '' then '/' else {_u(3, "source_url")} end as path, regexp_replace({_u(4, "source_url")}, '^\\?', '') as q
   from source_records where regexp_matches(trim(source_url), {_URL}) and {_u(2, "source_url")} <> ''
 )"""
@@ -92,7 +93,9 @@ def _q(keep: str) -> str:
 
 
 _UNTRACKED = "not starts_with(lower(split_part(p, '=', 1)), 'utm_') and lower(split_part(p, '=', 1)) not in ('ref', 'source', 's', 't')"
-_CLUSTER = "case when h in ('x.com', 'twitter.com', 'mobile.twitter.com', 'x.example') then case when a <> '' then 'x:account:' || a else 'x:domain:x' end else h end"
+_RESERVED = "('home', 'explore', 'search', 'i', 'intent', 'share', 'hashtag', 'messages', 'notifications', 'settings', 'compose')"
+_Q_UNTRACKED = _q(_UNTRACKED)
+_CLUSTER = f"case when h in ('x.com', 'twitter.com', 'mobile.twitter.com', 'x.example') then case when a <> '' and a not in {_RESERVED} then 'x:account:' || a else 'x:domain:x' end else h end"
 
 
 def _rec(s: SparkSession, d: str) -> DataFrame:
@@ -328,7 +331,7 @@ def fact_clauses(s, d):
     return c.where("clauses > 0")
 
 
-@query(f"with {_URLS} select record_id, scheme || '://' || host || {_TRIM.format('path')} || {_q('true')} as url from parts")
+@query(f"with {_URLS} select record_id, scheme || '://' || usr || host || {_TRIM.format('path')} || {_q('true')} as url from parts")
 def canonical_url(s, d):
     return _rec(s, d).select("record_id", U.canonical(F.col("source_url")).alias("url")).where("url is not null")
 
@@ -370,7 +373,7 @@ def url_preference(s, d):
 
 
 _LINKS = _URLS.replace("source_url as u", "source_url as u").replace("from source_records", "from (select record_id, unnest(outbound_urls) as source_url from source_records)")
-_CANDIDATE = """case when h in ('x.com', 'twitter.com', 'mobile.twitter.com', 'x.example') then 'x:account:' || nullif(a, '')
+_CANDIDATE = f"""case when h in ('x.com', 'twitter.com', 'mobile.twitter.com', 'x.example') then 'x:account:' || case when regexp_full_match(a, '[a-z0-9_]{{1,15}}') and a not in {_RESERVED} then a end
     else case when regexp_matches(h, '(?:^|\\.)github\\.') then 'github' when regexp_matches(h, '(?:^|\\.)arxiv\\.') then 'arxiv' when regexp_matches(h, '(?:^|\\.)reddit\\.') then 'reddit' else 'web' end || ':domain:' || h end"""
 _IGNORED = ", ".join(repr(x) for x in P.IGNORED_DOMAINS)
 
@@ -398,9 +401,9 @@ def repository_links(s, d):
 _APP = "app as (select * from edition_items qualify row_number() over (partition by item_id, edition_id order by appearance_id) = 1)"
 
 
-@query("select appearance_id, item_id from edition_items where published_at = (select max(published_at) from edition_items)")
+@query(f"select appearance_id, item_id from edition_items where published_at = (select max(published_at) from edition_items where published_at <= timestamp '{NOW}')")
 def latest_edition(s, d):
-    return editions.latest_edition(load(s, d, "edition_items")).select("appearance_id", "item_id")
+    return editions.latest_edition(load(s, d, "edition_items"), NOW).select("appearance_id", "item_id")
 
 
 @query(f"select appearance_id, item_id from edition_items where published_at > timestamp '{NOW}' - interval 7 day and published_at <= timestamp '{NOW}'")
@@ -450,7 +453,7 @@ _CUT = f"timestamp '{NOW}' - interval 7 day"
 _CAND = f"""
 old as (select * from edition_items where published_at <= {_CUT} qualify row_number() over (partition by item_id order by published_at desc, appearance_id desc) = 1),
 cl as (select appearance_id, count(distinct {_CLUSTER}) as clusters from (select appearance_id, {_BARE} as h, lower(regexp_replace(regexp_extract(path, '^/+([^/]+)', 1), '^@', '')) as a from
-  (select appearance_id, regexp_replace(regexp_replace(lower({_u(2)}), '^.*@', ''), ':(?:80|443)?$', '') as host, case when {_u(3)} = '' then '/' else {_u(3)} end as path
+  (select appearance_id, {_HOST.format(h=_u(2), s=_u(1))} as host, case when {_u(3)} = '' then '/' else {_u(3)} end as path
    from (select appearance_id, unnest(source_urls) as u from old) where regexp_matches(trim(u), {_URL}) and {_u(2)} <> '')) group by 1),
 cand as (select old.*, coalesce(clusters, 0) as clusters from old left join cl using (appearance_id)
   where not exists (select 1 from edition_items e where e.item_id = old.item_id and e.published_at > {_CUT} and e.published_at <= timestamp '{NOW}')),
@@ -483,14 +486,6 @@ def history_reference_disjoint(s, d):
     return both.agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query(
-    """select incoming_id, coalesce(known_since, first_seen) as first_seen, coalesce(editions, 0) + 1 as edition_count, editions is not null as tracked
-    from incoming_items left join (select item_id, min(first_seen) as known_since, count(distinct edition_id) as editions from edition_items where item_id is not null group by 1) using (item_id)"""
-)
-def historical_resolution(s, d):
-    return editions.resolved(load(s, d, "edition_items"), load(s, d, "incoming_items"))
-
-
 @query(
     """select item_id, edition_id, max(relevance_score) as score from (select * from edition_items qualify row_number() over (partition by item_id, edition_id order by appearance_id desc) = 1) group by 1, 2"""
 )
@@ -583,7 +578,7 @@ def expertise_retention(s, d):
 
 _KEYS = f"""
 ku as (select distinct record_id, u from (select record_id, unnest(list_distinct(list_concat([source_url], coalesce(source_urls, [])))) as u from source_records)),
-kp as (select record_id, lower({_u(1)}) as scheme, regexp_replace(regexp_replace(regexp_replace(lower({_u(2)}), '^.*@', ''), ':(?:80|443)?$', ''), '^www\\.', '') as h,
+kp as (select record_id, lower({_u(1)}) as scheme, regexp_replace({_HOST.format(h=_u(2), s=_u(1))}, '^www\\.', '') as h,
   case when {_u(3)} = '' then '/' else {_u(3)} end as path, regexp_replace({_u(4)}, '^\\?', '') as q from ku where regexp_matches(trim(u), {_URL}) and {_u(2)} <> ''),
 kc as (select *, case when h in ('github.com', 'github.example') then lower(path) else path end as p2 from kp),
 keys as (select distinct record_id, scheme || '://' || case when h = 'twitter.com' then 'x.com' else h end || {_TRIM.format("p2")} || {_q(_UNTRACKED)} as key from kc)
@@ -628,10 +623,11 @@ def dice_pairs(s, d):
 
 
 @query(
-    """with m as (select source_id, case when regexp_matches(t, '\\b(disliked|failures|cannot|slower|harder)\\b') then 'negative' when regexp_matches(t, '\\b(liked|faster|better|safer|easier|cheaper)\\b') then 'positive' else 'neutral' end as mood
-      from (select source_id, lower(title || ' ' || summary) as t from source_records where source_id is not null)),
-    g as (select source_id, list_sort(list(distinct mood)) as m from m group by 1)
-    select source_id, array_to_string(m, ',') as sentiments, case when len(m) <= 1 then 'agree' when len(m) = 2 and not list_contains(m, 'neutral') then 'disagree' else 'mixed' end as spread from g"""
+    """with m as (select source_id, lower(title || ' ' || summary) as t from source_records where source_id is not null and source_type = 'x'),
+    g as (select source_id, bool_or(regexp_matches(t, '\\b(broken|buggy|unsafe|malware|scam|concern|regression|fails?|failure|vulnerability)\\b')) as bad,
+      bool_or(not regexp_matches(t, '\\b(broken|buggy|unsafe|malware|scam|concern|regression|fails?|failure|vulnerability)\\b')
+        and regexp_matches(t, '\\b(launch(?:ed)?|release(?:d)?|available|live|open[- ]source(?:d)?|shipp(?:ed|ing)|new)\\b')) as good, count(*) as n from m group by 1)
+    select source_id, concat_ws(',', case when bad then 'negative' end, case when good then 'positive' end) as sentiments, case when bad and good then 'disagree' else 'agree' end as spread from g"""
 )
 def sentiment_spread(s, d):
     return identity.sentiment(_rec(s, d))
@@ -640,10 +636,18 @@ def sentiment_spread(s, d):
 # ---- storylines and graphs
 
 
+_STORY_STOP = "(" + ", ".join(repr(w) for w in P.STORYLINE_STOP_WORDS) + ")"
+_STORY = (
+    "case when len(list_filter(string_split({0}, ' '), lambda t: t <> '' and t not in " + _STORY_STOP + " and not regexp_full_match(t, 'v?[0-9]+|rc[0-9]+|beta[0-9]*|alpha[0-9]*'))) > 0"
+    " then list_filter(string_split({0}, ' '), lambda t: t <> '' and t not in " + _STORY_STOP + " and not regexp_full_match(t, 'v?[0-9]+|rc[0-9]+|beta[0-9]*|alpha[0-9]*')) else string_split({0}, ' ')[1:3] end"
+)
+# list_distinct keeps no order, so a token stays where it stands first
+_IN_ORDER = "list_filter({0}, lambda z, i: list_position({0}, z) = i)"
+
+
 @query(
-    f"""select appearance_id, 'storyline-' || case when category in ('tool', 'api', 'library') then 'artifact' else category end || '-'
-    || array_to_string(list_reduce(list_prepend([]::varchar[], list_transform(list_filter(string_split(coalesce({_COMPARABLE.format("item_name")}, ''), ' '), lambda t: t <> ''), lambda t: [t])), lambda x, y: case when list_contains(x, y[1]) then x else list_concat(x, y) end)[1:3], '-') as storyline_id
-    from edition_items"""
+    f"""with n as (select appearance_id, category, {_STORY.format("coalesce(" + _COMPARABLE.format("item_name") + ", " + _COMPARABLE.format("summary") + ", '')")} as t from edition_items)
+    select appearance_id, 'storyline-' || case when category in ('tool', 'api', 'library') then 'artifact' else category end || '-' || array_to_string({_IN_ORDER.format("t")}[1:3], '-') as storyline_id from n"""
 )
 def storyline_id(s, d):
     return storylines.storyline_ids(load(s, d, "edition_items"))
@@ -728,3 +732,5 @@ def catalog_multiway_join(s, d):
 
 
 FLAGSHIP = "edition_report"
+
+from tidemark.plans import curation, stories  # noqa: E402, F401  they register their queries here
