@@ -458,3 +458,23 @@ def test_every_query_runs_on_the_smallest_tables(spark):
     for name, f in q.QUERIES.items():
         df = f(spark, "/root/testdata/sf0.001")
         assert df.columns and df.count() >= 0, name
+
+
+def test_sql_gives_the_same_rows(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from tidemark.llm.sql import SQL
+
+    c = duckdb.connect()
+    for p in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    for name, sql in SQL.items():
+        df = q.QUERIES[name](spark, "/root/testdata/sf0.001")
+        got = c.execute(sql)
+        columns = sorted(x[0] for x in got.description)
+        assert columns == sorted(df.columns), name
+        want = [tuple(dict(zip([x[0] for x in got.description], r))[k] for k in columns) for r in got.fetchall()]
+        assert sorted(map(str, want)) == sorted(map(str, [tuple(r[k] for k in columns) for r in df.collect()])), name
