@@ -98,8 +98,8 @@ SQL: dict[str, str] = {
     select entity_key, any_value(rows) as rows, {_vote("license")}, {_vote("homepage")}, {_vote("fetched_at")} from c join n using (entity_key) group by 1""",
     "p2_found": f"""with {_words("source_records", "record_id", "title", "summary")}, {_PREFIX},
     pr as (select distinct a.k as a, b.k as b from wp a join wp b using (w) where a.k < b.k and least(a.size, b.size) >= 0.6 * greatest(a.size, b.size) - 1e-9),
-    sm as materialized (select a, b, len(x.ws) + len(y.ws) as both, len(list_intersect(x.ws, y.ws)) as o from pr join wl x on x.k = a join wl y on y.k = b)
-    select a as record_id_a, b as record_id_b from sm where o >= 0.6 * (both - o) - 1e-9""",
+    sm as materialized (select a, b, len(x.ws) + len(y.ws) as total, len(list_intersect(x.ws, y.ws)) as o from pr join wl x on x.k = a join wl y on y.k = b)
+    select a as record_id_a, b as record_id_b from sm where o >= 0.6 * (total - o) - 1e-9""",
     "p3_found": f"""with f as (select record_id, 'title' as field_name, title as t from source_records union all select record_id, 'summary', summary from source_records), g as (select *, {_SCRIPT} as script from f where regexp_matches(t, '[^\\x{{00}}-\\x{{7F}}]'))
     select record_id, field_name from g where {_ODD}""",
     "p5_found": f"""with recursive {_ROWS}, {_words("every", "seq", "item_name", "summary")}, {_PREFIX},
