@@ -286,3 +286,39 @@ def test_scores_of_representative_items(spark):
         "github": S.github_signal(F.col("stars"), F.col("activity")), "social": S.saturating(F.col("social"), 1000),
     }
     assert [r[0] for r in df.select(S.relevance(parts)).collect()] == [89.0, 80.0, 73.0, 57.0]
+
+
+def test_upsert_keeps_the_table_when_a_write_fails(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "states")
+    row = lambda k, v: (k, v)
+    io.upsert(spark.createDataFrame([row("a", 1), row("b", 1)], "k string, v int"), path, ["k"])
+    io.upsert(spark.createDataFrame([row("b", 2), row("c", 2)], "k string, v int"), path, ["k"])
+    io.upsert(spark.createDataFrame([row("c", 3)], "k string, v int"), path, ["k"])
+    assert sorted(map(tuple, io.read_table(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    broken = spark.createDataFrame([row("a", 9)], "k string, v int").withColumn("v", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        io.upsert(broken, path, ["k"])
+    assert sorted(map(tuple, io.read_table(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_limiter_of_a_user_with_gaps(spark):
+    """Parts between which a window has ended are counted apart, with the same result as one after the other."""
+    import random
+
+    random.seed(3)
+    t0, at, rows = dt.datetime(2024, 1, 1), 0, []
+    for i in range(400):
+        at += random.choice([0, 1, 7, 30, 61, 200])
+        rows.append((i, 1, t0 + dt.timedelta(seconds=at)))
+    want, reset, n = {}, None, 0
+    for i, _, t in rows:
+        if reset is None or not reset > t:
+            reset, n = t + dt.timedelta(seconds=60), 0
+        n += 1
+        want[i] = (n, n > 2)
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp")
+    assert {r["event_id"]: (r["in_window"], r["limited"]) for r in consumers.limited(df, 60, 2).collect()} == want
+    by = {r["event_id"]: r["in_window"] for r in consumers.limited(df, 60, 2, key=F.col("event_id") % 2).collect()}
+    assert by[0] == 1 and max(by.values()) <= max(n for n, _ in want.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +107,27 @@ def union_of_editions(*parts: DataFrame) -> DataFrame:
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     keep = out.groupBy("item_id", "edition_id").agg(F.max(F.struct("part", "appearance_id")).alias("k")).select("k.part", "k.appearance_id")
     return out.join(keep, ["part", "appearance_id"], "left_semi")
+
+
+def reference_order(references: DataFrame, items: DataFrame) -> DataFrame:
+    """References with their place: score, editions and time falling, then the name. There are few."""
+    r = references.join(items.select("appearance_id", "edition_count", "published_at", "item_name"), "appearance_id")
+    w = Window.orderBy(F.desc("relevance_score"), F.desc("edition_count"), F.desc("published_at"), F.lower("item_name"), "appearance_id")
+    return r.select("appearance_id", "item_id", F.row_number().over(w).alias("place"))
+
+
+def since_checkpoint(items: DataFrame, checkpoint: str, task: str) -> DataFrame:
+    """``item_id, change, matched``: items of editions after a checkpoint that a task is about and that are new to the consumer or changed in their summary.
+
+    Words of the task of more than two letters are sought in name and summary. An item is compared with its last appearance
+    at or before the checkpoint.
+    """
+    at = F.lit(checkpoint).cast("timestamp_ntz")
+    terms = F.array(*[F.lit(t) for t in dict.fromkeys(w for w in re.split(r"\W+", task.lower()) if len(w) > 2)])
+    old = items.where(F.col("published_at") <= at).groupBy("item_id").agg(F.max_by("summary", F.struct("published_at", "appearance_id")).alias("was"), F.lit(True).alias("known"))
+    new = items.where(F.col("published_at") > at).groupBy("item_id").agg(F.max_by(F.struct("summary", "item_name"), F.struct("published_at", "appearance_id")).alias("x"))
+    j = new.select("item_id", "x.*").join(old, "item_id", "left")
+    low = F.lower(F.concat_ws(" ", "item_name", "summary"))
+    j = j.withColumn("matched", F.array_join(F.filter(terms, lambda t: F.contains(low, t)), ","))
+    change = F.when(F.col("known").isNull(), "new_to_consumer").when(~F.col("summary").eqNullSafe(F.col("was")), "material_change")
+    return j.where("matched <> ''").select("item_id", change.alias("change"), "matched").where("change is not null")

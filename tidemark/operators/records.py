@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from tidemark.functions import scoring as S
 from tidemark.functions import text as T
 
 
-def edition_day(ts: Column) -> Column:
-    """Day of the edition that a time belongs to: it opens at the slot hour of the day before."""
+def edition_day(ts: Column, zone: str = "UTC") -> Column:
+    """Day of the edition that a time belongs to: it opens at the slot hour of the day before, in local time."""
+    ts = ts if zone == "UTC" else F.from_utc_timestamp(ts, zone)
     return F.to_date(ts + F.expr(f"interval {24 - P.SLOT_HOUR} hours"))
 
 
@@ -37,25 +40,31 @@ def signals(records: DataFrame) -> DataFrame:
     )
 
 
-def scored(records: DataFrame) -> DataFrame:
+def scored(records: DataFrame, scorer: Callable[[dict[str, Column]], Column] = S.relevance) -> DataFrame:
+    """Records with their score; ``scorer`` makes it of the signals by name."""
     s = signals(records)
     parts = {k: F.col(k) for k in P.WEIGHTS}
-    return s.withColumn("score", S.relevance(parts)).withColumns({f"weight_{k}": S.effective_weight(parts, k) for k in P.WEIGHTS})
+    return s.withColumn("score", scorer(parts)).withColumns({f"weight_{k}": S.effective_weight(parts, k) for k in P.WEIGHTS})
 
 
-def gated(records: DataFrame, sources: DataFrame) -> DataFrame:
+def gated(records: DataFrame, sources: DataFrame, allow: Column | None = None, needs_approval: Column | None = None, scorer: Callable[[dict[str, Column]], Column] = S.relevance) -> DataFrame:
     """Scored records with the reason they are excluded for, null if they are published.
 
+    ``allow`` leaves out records that are not for this edition before anything is scored, ``needs_approval`` says whose
+    sources must be approved, ``scorer`` makes the score.
+
     The registry has a fixed number of rows per source; it is joined without a hint, so its size decides the strategy.
     """
     registry = sources.select("source_id", F.col("status"), F.col("authority_score"), F.lit(True).alias("registered"))
-    s = scored(records).join(registry, "source_id", "left")
+    records = records if allow is None else records.where(allow)
+    s = scored(records, scorer).join(registry, "source_id", "left")
     minimum = F.coalesce(*[F.when(F.col("source_type") == k, F.lit(float(max(P.MIN_AUTHORITY, v)))) for k, v in P.DESCRIPTOR_MINIMUM.items()], F.lit(float(P.MIN_AUTHORITY)))
+    approval = F.col("source_type").isin(*P.APPROVAL_KINDS) if needs_approval is None else needs_approval
     effective = F.greatest("source_authority", "authority_score")
     status = F.coalesce("status", F.lit("unknown"))
     reason = (
         F.when(effective < minimum, "source_authority_below_threshold")
-        .when(F.col("source_type").isin(*P.APPROVAL_KINDS) & (status != "approved"), "source_not_approved")
+        .when(approval & (status != "approved"), "source_not_approved")
         .when(status == "retired", "source_retired")
         .when(F.col("score") < P.PUBLICATION_FLOOR, "relevance_below_threshold")
     )

@@ -34,13 +34,19 @@ def guarded(records: DataFrame, sources: DataFrame) -> DataFrame:
 
 def evidence(records: DataFrame, sources: DataFrame) -> DataFrame:
     """What the mentions say about each candidate source that their outbound links lead to."""
-    s = scored(records).select("record_id", "score")
-    links = records.select("record_id", F.col("source_id").alias("referrer"), F.col("source_type").alias("platform"), edition_day(F.col("fetched_at")).alias("cycle"), F.concat_ws(" ", "title", "summary").alias("text"), F.explode("outbound_urls").alias("u"))
-    links = links.withColumn("candidate", U.source_candidate(F.col("u"))).where("candidate is not null").drop("u").distinct().join(s, "record_id")
-    return links.groupBy("candidate").agg(
-        F.count(F.lit(1)).alias("mentions"), F.countDistinct("referrer").alias("referrers"), F.countDistinct("platform").alias("platforms"), F.countDistinct("cycle").alias("cycles"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(T.topic_hits(F.col("text")))))).cast("bigint").alias("topics"),
-        F.sum("score").alias("score_sum"), F.count(F.when(F.col("score") >= P.HIGH_SIGNAL, 1)).alias("high"),
+    # what a text says of the topics is a few bits; the text itself goes no further
+    low = F.lower(F.concat_ws(" ", "title", "summary"))
+    topics = sum(F.when(F.contains(low, F.lit(k)), 1 << i).otherwise(0) for i, k in enumerate(P.TOPICAL_KEYWORDS))
+    links = records.select("record_id", F.col("source_id").alias("referrer"), F.col("source_type").alias("platform"), edition_day(F.col("fetched_at")).alias("cycle"), topics.alias("topics"), F.explode("outbound_urls").alias("u"))
+    links = links.withColumn("candidate", U.source_candidate(F.col("u"))).where("candidate is not null").drop("u").distinct()
+    links = links.join(scored(records).select("record_id", "score"), "record_id")
+    # first by referrer, so that what is counted apart is combined before it meets in one place
+    near = links.groupBy("candidate", "referrer", "platform", "cycle").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or("topics").alias("topics"), F.sum("score").alias("score_sum"), F.count(F.when(F.col("score") >= P.HIGH_SIGNAL, 1)).alias("high")
+    )
+    return near.groupBy("candidate").agg(
+        F.sum("n").alias("mentions"), F.countDistinct("referrer").alias("referrers"), F.countDistinct("platform").alias("platforms"), F.countDistinct("cycle").alias("cycles"),
+        F.bit_count(F.bit_or("topics")).cast("bigint").alias("topics"), F.sum("score_sum").alias("score_sum"), F.sum("high").alias("high"),
     )
 
 

@@ -653,16 +653,6 @@ def storyline_id(s, d):
     return storylines.storyline_ids(load(s, d, "edition_items"))
 
 
-@query()
-def fact_clause_novelty(s, d):
-    return storylines.decisions(load(s, d, "edition_items"))
-
-
-@query()
-def storyline_lifecycle(s, d):
-    return storylines.lifecycles(load(s, d, "edition_items"))
-
-
 @query(
     """with e as (select n_nationkey as a, n_regionkey + 100 as b from nation) select a::bigint as a, b::bigint as b from e union select b::bigint, a::bigint from e"""
 )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import params as P
-from tidemark.operators import identity, storylines
+from tidemark.sources import payloads
+from tidemark.operators import consumers, editions, identity, items, storylines
 from tidemark.plans.curation import _ALIAS
-from tidemark.plans.queries import _APP, _HOST, _Q_UNTRACKED, _STORY, _TRIM, _URL, NOW, _rec, _u, query
+from tidemark.plans.queries import _APP, _CAND, _CLUSTER, _HOST, _MATERIAL, _PART, _Q_UNTRACKED, _STORY, _TRIM, _URL, NOW, _rec, _u, query
 from tidemark.plans.shared import load
 
 _HOSTS = "('x.com', 'twitter.com', 'mobile.twitter.com', 'x.example')"
@@ -164,3 +165,131 @@ def storyline_merges(s, d):
 )
 def active_storylines(s, d):
     return storylines.active(load(s, d, "edition_items"), _stories(s, d), NOW)
+
+
+# ---- what an appearance adds to a story
+
+
+_FACTS = f"""{_APP},
+  fx as (select appearance_id, item_id, published_at, row_number() over (partition by item_id order by published_at, appearance_id) as n, list_distinct({_MATERIAL.format("nullif(trim(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g')), '')")}) as tokens,
+    list_distinct(list_filter({_PART.replace("text", "summary")}, lambda p: len({_MATERIAL.format("p")}) >= 2)) as clauses from app),
+  fc as (select appearance_id, item_id, n, list_distinct({_MATERIAL.format("c")}) as w from (select *, unnest(clauses) as c from fx)),
+  fn as (select appearance_id, count(*) as facts from fc x where not exists (select 1 from fc y where y.item_id is not distinct from x.item_id and y.n < x.n and len(list_intersect(x.w, y.w)) * 1e0 / greatest(len(x.w), len(y.w)) >= 0.72) group by 1),
+  fk as (select appearance_id, item_id, n, unnest(tokens) as k from fx), fb as (select item_id, k, min(n) as n from fk group by 1, 2), fw as (select fx.appearance_id, count(*) as fresh from fx join fb on fb.item_id is not distinct from fx.item_id and fb.n = fx.n group by 1),
+  fd as (select a.*, coalesce(facts, 0) as facts, case when len(a.tokens) > 0 then coalesce(fresh, 0) * 1e0 / len(a.tokens) else 0e0 end as ratio, b.tokens is null as firstone,
+    case when greatest(len(a.tokens), coalesce(len(b.tokens), 0)) > 0 then coalesce(len(list_intersect(a.tokens, b.tokens)), 0) * 1e0 / greatest(len(a.tokens), coalesce(len(b.tokens), 0)) else 0e0 end as overlap
+    from fx a left join fx b on b.item_id is not distinct from a.item_id and b.n = a.n - 1 left join fn on fn.appearance_id = a.appearance_id left join fw on fw.appearance_id = a.appearance_id),
+  fz as (select appearance_id, item_id, published_at, n, ratio, overlap, facts, case when firstone then 'origin' when facts >= 1 and (ratio >= 0.18 or overlap <= 0.45) or facts >= 2 and ratio >= 0.09 and overlap <= 0.7
+    or facts = 0 and ratio >= 0.35 and overlap <= 0.55 then 'evolution' else 'repetition' end as decision from fd)"""
+
+
+@query(f"with {_FACTS} select appearance_id, item_id, facts, decision from fz")
+def fact_clause_novelty(s, d):
+    return storylines.decisions(load(s, d, "edition_items")).select("appearance_id", "item_id", "facts", "decision")
+
+
+@query(
+    f"""with recursive {_FACTS}, fl(item_id, n, appearance_id, decision, status, evolutions, repetitions, streak, last) as (
+      select item_id, 1::bigint, appearance_id, decision, 'developing', 1::bigint, 0::bigint, 0::bigint, published_at from fz where n = 1 and item_id is not null
+      union all select z.item_id, z.n, z.appearance_id, z.decision,
+        case when z.decision = 'repetition' then case when epoch(z.published_at) - epoch(l.last) > 604800 or l.streak + 1 >= 2 then 'archived' when l.evolutions >= 2 then 'stable' else 'developing' end
+          when l.status = 'archived' or l.evolutions + 1 < 2 then 'developing' else 'stable' end,
+        l.evolutions + case when z.decision = 'repetition' then 0 else 1 end, l.repetitions + case when z.decision = 'repetition' then 1 else 0 end,
+        case when z.decision = 'repetition' then l.streak + 1 else 0 end, case when z.decision = 'repetition' then l.last else z.published_at end from fl l join fz z on z.item_id = l.item_id and z.n = l.n + 1)
+    select appearance_id, item_id, decision, status, evolutions, repetitions, streak from fl"""
+)
+def storyline_lifecycle(s, d):
+    return storylines.lifecycles(load(s, d, "edition_items").where("item_id is not null"))
+
+
+# ---- items, references, checkpoints, plans
+
+
+_UP = f"""nu as (select record_id, u, {_HOST.format(h=_u(2), s=_u(1))} as host, lower({_u(1)}) as scheme, case when {_u(3)} = '' then '/' else {_u(3)} end as path, regexp_replace({_u(4)}, '^\\?', '') as q
+    from (select record_id, unnest(list_concat([source_url], coalesce(source_urls, []))) as u from source_records) where regexp_matches(trim(u), {_URL}) and {_u(2)} <> ''),
+  nh as (select *, regexp_replace(host, '^www\\.', '') as h, lower(regexp_replace(regexp_extract(path, '^/+([^/]+)', 1), '^@', '')) as a from nu)"""
+
+
+@query(
+    f"""with {_UP}, cl as (select record_id, count(distinct {_CLUSTER}) as n from nh group by 1),
+    i as (select r.*, n, case when r.category in ('tool', 'technique', 'api', 'library') then r.category end as c from source_records r join cl using (record_id) where trim(title) <> '' and regexp_matches(trim(source_url), {_URL}))
+    select record_id, c as category, greatest(1, n) as mention_count, least(published_at, fetched_at) as first_seen from i where c is not null"""
+)
+def normalised_items(s, d):
+    return items.normalised(_rec(s, d).where(F.col("category").isin(*P.CATEGORIES))).select("record_id", "category", "mention_count", "first_seen")
+
+
+@query(
+    f"""with {_UP}, c as (select *, case when h in ('github.com', 'github.example') then lower(path) else path end as p2, case when len(list_filter(string_split(q, '&'), lambda p: p <> '' and (starts_with(lower(split_part(p, '=', 1)), 'utm_') or lower(split_part(p, '=', 1)) in ('ref', 'source', 's', 't')))) > 0 then 0 else 8 end
+      + case when h in ('x.com', 'x.example') or (h in ('github.com', 'github.example') and path = lower(path)) then 4 else 0 end + case when ends_with(path, '/') then 0 else 1 end as score,
+      10 * len(list_filter(string_split(path, '/'), lambda z: z <> '')) + len(list_filter(string_split(q, '&'), lambda z: z <> '')) as spec from nh)
+    select source_id, scheme || '://' || case when h = 'twitter.com' then 'x.com' else h end || {_TRIM.format("p2")} || {_Q_UNTRACKED} as page, arg_min(u, (-score, -spec, u)) as url from c join source_records using (record_id) where source_id is not null group by 1, 2"""
+)
+def best_links(s, d):
+    return items.best_links(_rec(s, d).where("source_id is not null"), "source_id")
+
+
+@query(
+    f"""with b as (select item_id, edition_id, [case when trim(coalesce(item_name, '')) = '' then 'name' end, case when not (regexp_matches(trim(coalesce(source_url, '')), {_URL}) and regexp_extract(trim(coalesce(source_url, '')), {_URL}, 2) <> '') then 'link' end,
+      case when coalesce(category, '') not in ('tool', 'technique', 'api', 'library') then 'category' end, case when not coalesce(relevance_score between 0 and 100, false) then 'score' end, case when coalesce(mention_count, 0) < 1 then 'mentions' end,
+      case when coalesce(edition_count, 0) < 1 then 'editions' end, case when coalesce(first_seen > published_at, true) then 'first_seen' end, case when len(list_distinct(source_urls)) < len(source_urls) then 'links_once' end] as r from edition_items),
+    t as (select coalesce(sum(c - 1), 0) as n from (select count(*) as c from edition_items group by item_id, edition_id having count(*) > 1))
+    select rule, count(*) as n from (select unnest(list_filter(r, lambda x: x is not null)) as rule from b) group by 1 union all select 'once_an_edition', cast(n as bigint) from t where n > 0"""
+)
+def edition_contract(s, d):
+    return items.violations(load(s, d, "edition_items"))
+
+
+@query(
+    f"""with {_CAND}, ref as (select * from good where clusters >= 2 union all select * from good where clusters = 1 and category not in (select category from good where clusters >= 2)
+      qualify row_number() over (partition by category order by relevance_score desc, edition_count desc, published_at desc, appearance_id) = 1)
+    select appearance_id, item_id, row_number() over (order by relevance_score desc, edition_count desc, published_at desc, lower(item_name), appearance_id) as place from ref"""
+)
+def reference_order(s, d):
+    e = load(s, d, "edition_items")
+    return editions.reference_order(editions.references(e, NOW), e)
+
+
+@query(
+    """with o as (select item_id, arg_max(summary, (published_at, appearance_id)) as was from edition_items where published_at <= timestamp '2026-06-01' group by 1),
+    n as (select item_id, arg_max(summary, (published_at, appearance_id)) as summary, arg_max(item_name, (published_at, appearance_id)) as name from edition_items where published_at > timestamp '2026-06-01' group by 1),
+    m as (select n.item_id, case when o.item_id is null then 'new_to_consumer' when summary is distinct from was then 'material_change' end as change,
+      array_to_string(list_filter(['planner', 'engine', 'queries'], lambda t: contains(lower(concat_ws(' ', name, summary)), t)), ',') as matched from n left join o using (item_id))
+    select item_id, change, matched from m where matched <> '' and change is not null"""
+)
+def consumer_checkpoint(s, d):
+    return editions.since_checkpoint(load(s, d, "edition_items"), "2026-06-01 00:00:00", "planner, engine or queries")
+
+
+@query(
+    """with l as (select event_id, ts, cast(((ts at time zone 'UTC') at time zone 'America/New_York') - interval 21 hour as date) as day from events),
+    p as (select event_id, ts, ((day::timestamp + interval 21 hour) at time zone 'America/New_York') at time zone 'UTC' as slot, (((day - 1)::timestamp + interval 21 hour) at time zone 'America/New_York') at time zone 'UTC' as before,
+      (((day + 1)::timestamp + interval 21 hour) at time zone 'America/New_York') at time zone 'UTC' as after from l)
+    select event_id, slot, before, after, floor(epoch(ts)) - floor(epoch(slot)) between 0 and 1200 as in_grace from p"""
+)
+def publication_plan(s, d):
+    return consumers.plan(load(s, d, "events"))
+
+
+# ---- payloads, written from the tables and read again
+
+
+@query("select lower(external_id) as external_id, title, stars, forks, coalesce(archived, false) as archived from github_records where external_id is not null")
+def search_payloads(s, d):
+    g = load(s, d, "github_records").where("external_id is not null")
+    item = F.struct(F.col("external_id").alias("full_name"), F.col("title").alias("name"), F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count"), "archived")
+    return payloads.repositories(g.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))).select("external_id", "title", "stars", "forks", "archived")
+
+
+@query("select 'r' || record_id as external_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) as title from source_records where source_type = 'web' and trim(title) <> '' and not regexp_matches(title, '[<>&\"]|[^\\x00-\\x7F]')")
+def page_payloads(s, d):
+    r = _rec(s, d).where("source_type = 'web'").where(~F.col("title").rlike(r"[<>&\"]|[^\x00-\x7F]") & (F.trim("title") != ""))
+    html = F.concat(F.lit("<html><head><title> "), "title", F.lit("</title></head><body><a href='/x'>y</a></body></html>"))
+    return payloads.pages(r.select(F.concat(F.lit("r"), "record_id").alias("url"), html.alias("html"))).select("external_id", "title")
+
+
+@query("select paper_id, 1 + paper_id % 3 as version, cast(published_at as date) as day from arxiv_records where published_at is not null")
+def feed_payloads(s, d):
+    a = load(s, d, "arxiv_records").where("published_at is not null")
+    entry = F.concat(F.lit("<feed><entry><id>http://arxiv.example/abs/"), "paper_id", F.lit("v"), 1 + F.col("paper_id") % 3, F.lit("</id><published>"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published><title>t</title></entry></feed>"))
+    return payloads.papers(a.select(entry.alias("payload"))).select(F.col("external_id").cast("bigint").alias("paper_id"), F.col("version").cast("bigint").alias("version"), F.to_date("published_at").alias("day"))
