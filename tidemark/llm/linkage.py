@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.params import CODE_HOSTS
 from tidemark.llm.survivorship import host_pattern, repository_key
-from tidemark.plans.shared import park
+from tidemark.plans.shared import join_by_value, park
 
 #: Hosts of papers and hosts on which each first part of a path is a site of its own, with the stand-ins of the test data.
 PAPER_HOSTS, PAGE_HOSTS = ("arxiv.org", "arxiv.example"), ("github.io", "pages.example")
@@ -161,10 +161,14 @@ def link(arxiv_records: DataFrame, github_records: DataFrame, tolerance: float =
     )
     # what one version of a paper may match, its other versions may
     bases = p.select("paper_id", "base")
-    pairs = pairs.join(bases, "paper_id").select("base", "entity_key").distinct().join(bases, "base").select("paper_id", "entity_key")
+    pairs = park(pairs.join(bases, "paper_id").select("base", "entity_key").distinct().join(bases, "base").select("paper_id", "entity_key"), "linkage-pairs")
     widely = p_hubs.groupBy("paper_id").agg(F.collect_set(F.struct("s", "weight")).alias("hubs"))
     total = p.count() or 1
-    c = pairs.join(p.drop("sites"), "paper_id").join(own, "paper_id", "left").join(widely, "paper_id", "left").join(r.withColumnRenamed("sites", "every"), "entity_key").join(told, "entity_key", "left").join(link_count, "entity_key", "left")
+    # a repository that very many papers cite is spread over tasks
+    known = r.withColumnRenamed("sites", "every").join(told, "entity_key", "left").join(link_count, "entity_key", "left")
+    cited = pairs.groupBy("entity_key").agg(F.count(F.lit(1)).alias("n"))
+    c = join_by_value(pairs, known, ["entity_key"], cited, F.col("paper_id"))
+    c = c.join(p.drop("sites").join(own, "paper_id", "left").join(widely, "paper_id", "left"), "paper_id")
     c = c.withColumn("own", F.coalesce("own", none)).withColumn("sites", F.coalesce("sites", none))
     labels = labelled(F.col("sites"))
     shared = F.coalesce(F.array_max(F.transform(F.filter("hubs", lambda h: F.array_contains("every", h.s)), lambda h: h.weight)), F.lit(0.0))

@@ -35,8 +35,8 @@ from tidemark.plans.shared import park
 
 _WORD = re.compile(r"[^\W_]+")
 
-#: A word of at least this part of all sets counts as frequent. At most (mean words of a set) / FREQUENT words can, so the list that is broadcast is bounded whatever the size of the data.
-FREQUENT = 1e-4
+#: A word of at least this part of all sets counts as frequent, and of these at most so many; others keep the order of their hashes. The list that is broadcast is bounded by that, and what is frequent changes the cost only.
+FREQUENT, RANKED = 1e-4, 1 << 20
 #: 64-bit words of a sketch.
 SKETCH = 2
 #: Sets of one word that are compared in one place; longer lists are cut into blocks and every two blocks meet.
@@ -90,7 +90,7 @@ def frequent_words(texts: DataFrame, part: float = FREQUENT) -> list[bytes]:
     counts = park(texts.select("text").mapInPandas(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
     n = counts.where("word = X''").agg(F.sum("n")).first()[0] or 0
     # bounded: see FREQUENT
-    often = counts.where("word <> X''").where(F.col("n") >= max(2, math.ceil(part * n))).orderBy("n", "word").select("word").toPandas()
+    often = counts.where("word <> X''").where(F.col("n") >= max(2, math.ceil(part * n))).orderBy(F.desc("n"), F.desc("word")).limit(RANKED).orderBy("n", "word").select("word").toPandas()
     return [bytes(w) for w in often["word"]]
 
 
