@@ -80,6 +80,19 @@ _IDS = "nullif(regexp_replace(lower(item_id), '[^\\p{L}\\p{N}]+', '', 'g'), '')"
 _ROWS = f"""every as (select appearance_id as seq, {_IDS} as key, item_id, published_at, item_name, summary, false as fresh from edition_items
       union all select 1000000000 + incoming_id, {_IDS}, item_id, received_at, item_name, summary, true from incoming_items)"""
 
+_ALIKE = f"""{_words("source_records", "record_id", "title", "summary")}, {_PREFIX},
+    pr as (select distinct a.k as a, b.k as b from wp a join wp b using (w) where a.k < b.k and least(a.size, b.size) >= 0.6 * greatest(a.size, b.size) - 1e-9),
+    sm as materialized (select a, b, len(x.ws) + len(y.ws) as total, len(list_intersect(x.ws, y.ws)) as o from pr join wl x on x.k = a join wl y on y.k = b)"""
+_REPEATS = f"""{_ROWS}, {_words("every", "seq", "item_name", "summary")}, {_PREFIX},
+    pr as (select distinct greatest(a.k, b.k) as a, least(a.k, b.k) as b from wp a join wp b using (w) where a.k < b.k and b.k > 1000000000),
+    sm as (select a, b, len(list_intersect(x.ws, y.ws)) / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) as s from pr join wl x on x.k = a join wl y on y.k = b),
+    tx as (select a as seq, arg_max(b, (s, -b)) as up, max(s) as s from sm where s >= 0.6 - 1e-12 group by 1),
+    fk as (select key, min(seq) as up from every where key is not null group by 1),
+    pt as (select e.seq, coalesce(case when fk.up < e.seq then fk.up end, tx.up) as up, case when fk.up < e.seq then 'id' when tx.up is not null then 'text' end as how, tx.s from every e left join fk using (key) left join tx on tx.seq = e.seq where e.fresh),
+    wk(seq, here) as (select seq, up from pt where up is not null union select wk.seq, pt.up from wk join pt on pt.seq = wk.here where pt.up is not null),
+    en as (select seq, here from wk where here not in (select seq from pt where up is not null)),
+    nm as (select key, arg_min(item_id, (published_at, seq)) as item_id from every where not fresh and key is not null group by 1)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""with {_FETCHES}, n as (select entity_key, count(*) as n from k where entity_key <> '/' group by 1),
     u as (select entity_key, 'license' as field_name, record_id, source_authority, seen from k where license is not null and lower(trim(license)) not in {_NO_LICENSE}
@@ -96,22 +109,23 @@ SQL: dict[str, str] = {
     c as (select * from t qualify row_number() over (partition by entity_key, field_name order by round(votes, 9) desc, rank desc) = 1),
     n as (select entity_key, count(*) as rows from b group by 1)
     select entity_key, any_value(rows) as rows, {_vote("license")}, {_vote("homepage")}, {_vote("fetched_at")} from c join n using (entity_key) group by 1""",
-    "p2_found": f"""with {_words("source_records", "record_id", "title", "summary")}, {_PREFIX},
-    pr as (select distinct a.k as a, b.k as b from wp a join wp b using (w) where a.k < b.k and least(a.size, b.size) >= 0.6 * greatest(a.size, b.size) - 1e-9),
-    sm as materialized (select a, b, len(x.ws) + len(y.ws) as total, len(list_intersect(x.ws, y.ws)) as o from pr join wl x on x.k = a join wl y on y.k = b)
-    select a as record_id_a, b as record_id_b from sm where o >= 0.6 * (total - o) - 1e-9""",
+    "p2_found": f"with {_ALIKE} select a as record_id_a, b as record_id_b from sm where o >= 0.6 * (total - o) - 1e-9",
+    "p2_groups": f"""with recursive {_ALIKE}, ps as (select a, b, total = 2 * o as same from sm where o >= 0.6 * (total - o) - 1e-9), ed as (select * from ps union all select b, a, same from ps),
+    rc(a, b) as (select a, b from ed union select rc.a, ed.b from rc join ed on rc.b = ed.a), lo as (select a, min(b) as b from rc group by 1),
+    ct as (select a, count(case when same then 1 end) + 1 as copies, count(case when not same then 1 end) as links from ed group by 1)
+    select a as record_id, least(a, b) as class_id, copies, links from ct join lo using (a)""",
     "p3_found": f"""with f as (select record_id, 'title' as field_name, title as t from source_records union all select record_id, 'summary', summary from source_records), g as (select *, {_SCRIPT} as script from f where regexp_matches(t, '[^\\x{{00}}-\\x{{7F}}]'))
     select record_id, field_name from g where {_ODD}""",
-    "p5_found": f"""with recursive {_ROWS}, {_words("every", "seq", "item_name", "summary")}, {_PREFIX},
-    pr as (select distinct greatest(a.k, b.k) as a, least(a.k, b.k) as b from wp a join wp b using (w) where a.k < b.k and b.k > 1000000000),
-    sm as (select a, b, len(list_intersect(x.ws, y.ws)) / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) as s from pr join wl x on x.k = a join wl y on y.k = b),
-    tx as (select a as seq, arg_max(b, (s, -b)) as up from sm where s >= 0.6 - 1e-12 group by 1),
-    fk as (select key, min(seq) as up from every where key is not null group by 1),
-    pt as (select e.seq, coalesce(case when fk.up < e.seq then fk.up end, tx.up) as up from every e left join fk using (key) left join tx on tx.seq = e.seq where e.fresh),
-    wk(seq, here) as (select seq, up from pt where up is not null union select wk.seq, pt.up from wk join pt on pt.seq = wk.here where pt.up is not null),
-    en as (select seq, here from wk where here not in (select seq from pt where up is not null)),
-    nm as (select key, arg_min(item_id, (published_at, seq)) as item_id from every where not fresh and key is not null group by 1)
+    "p5_found": f"""with recursive {_REPEATS}
     select en.seq - 1000000000 as incoming_id, case when r.fresh or r.key is null then r.item_id else nm.item_id end as item_id from en join every r on r.seq = en.here left join nm on nm.key = r.key""",
+    "p5_matches": f"""with recursive {_REPEATS},
+    rt as (select pt.seq, coalesce(en.here, pt.seq) as root, pt.up is null as is_new, pt.how, round(pt.s, 6) as similarity from pt left join en using (seq)),
+    rk as (select rt.*, r.item_id, case when r.fresh then 'n' || r.seq when r.key is null then '#' || r.seq else r.key end as thing, i.batch_no from rt join every r on r.seq = rt.root join incoming_items i on i.incoming_id = rt.seq - 1000000000),
+    hs as (select coalesce({_IDS}, '#' || appearance_id) as thing, arg_min(item_id, (published_at, appearance_id)) as name, min(least(first_seen, published_at)) as first_seen, count(distinct edition_id) as editions from edition_items group by 1),
+    bt as (select distinct thing, batch_no from rk)
+    select seq - 1000000000 as incoming_id, coalesce(hs.name, rk.item_id) as item_id, is_new, how as "by", similarity, coalesce(hs.first_seen, n.received_at) as first_seen,
+      coalesce(editions, 0) + (select count(*) from bt where bt.thing = rk.thing and bt.batch_no <= rk.batch_no) as edition_count
+    from rk left join hs using (thing) left join incoming_items n on n.incoming_id = rk.root - 1000000000""",
     "p6_found": f"with {_WINDOWS} select distinct doc_id, item_no from dw join ew using (g)",
     "p6_leaks": f"""with {_WINDOWS}, n as (select item_no, count(*) as n from ew group by 1)
     select doc_id, item_no, count(*) as windows, count(*) / any_value(n)::double as share from dw join ew using (g) join n using (item_no) group by 1, 2""",
