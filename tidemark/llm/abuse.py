@@ -168,6 +168,22 @@ def scale(s: np.ndarray, n: int) -> np.ndarray:
     return 3.0 / np.sqrt(np.maximum(np.bincount(s, minlength=n), 4))
 
 
+def merged(f: np.ndarray, s: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sentences with the same features and grade as one with their weights together; ``s`` must be in order."""
+    n = len(grade)
+    end = np.searchsorted(s, np.arange(n), "right")
+    x = (f.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(x ^ (x >> np.uint64(32)), dtype=np.uint64)])
+    start = np.concatenate([[0], end[:-1]])
+    sign = total[end] - total[start] + grade.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    _, first, group = np.unique(sign, return_index=True, return_inverse=True)
+    to = np.full(n, -1)
+    to[first] = np.arange(len(first))
+    mine = to[s] >= 0
+    return f[mine], to[s[mine]], grade[first], np.bincount(group, weight, len(first))
+
+
 class Ordinal:
     """Cumulative-link model of the grades 0, 1, 2 over sparse counts; fitted by full-batch Adam with weight decay."""
 
@@ -187,9 +203,11 @@ class Ordinal:
         return _sigmoid(score - a) + _sigmoid(score - b)
 
     def fit(self, f: np.ndarray, s: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int, decay: float = 4e-5, rate: float = 0.05) -> None:
+        f, s, grade, weight = merged(f, s, grade, weight)
         n, total = len(grade), weight.sum()
+        k = scale(s, n)
         for _ in range(steps):
-            z = self.score(f, s, n)
+            z = np.bincount(s, self.w[f], n) * k
             a, b = self.cuts()
             pa, pb = _sigmoid(a - z), _sigmoid(b - z)  # P(grade <= 0), P(grade <= 1)
             p = np.maximum(np.choose(grade, [pa, pb - pa, 1 - pb]), 1e-9)
@@ -197,7 +215,7 @@ class Ordinal:
             up_a = np.choose(grade, [da, -da, 0 * da]) / p * weight / total
             up_b = np.choose(grade, [0 * db, db, -db]) / p * weight / total
             g = np.empty(len(self.w) + 2)
-            g[:-2] = np.bincount(f, ((up_a + up_b) * scale(s, n))[s], len(self.w)) + decay * self.w
+            g[:-2] = np.bincount(f, ((up_a + up_b) * k)[s], len(self.w)) + decay * self.w
             g[-2] = -(up_a + up_b).sum()
             g[-1] = -(up_b * np.exp(self.gap)).sum()
             self.steps += 1
