@@ -94,7 +94,7 @@ class History:
         self._add("sets", reps.select("rep", "codes", "item_key"), "rep")
         self._add("lists", setjoin.entries(reps, self.frequent, self.threshold), "word")
 
-    def match(self, batch: DataFrame) -> DataFrame:
+    def match(self, batch: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """``id, seq, key, item_key, item_id, is_new, by, similarity, first_seen, edition_count`` of a batch ``id, item_id, name, summary, received, edition``.
 
         A row repeats the item of an earlier row - of the history, or of the batch with a smaller ``id`` - if their ids
@@ -103,6 +103,8 @@ class History:
         accepted, ``first_seen`` that of the accepted item and ``edition_count`` its count carried on by the editions
         of the batch so far. New rows start an item of their own.
 
+        ``texts`` (id, text) are the batch's texts in their readable form, if they are known already.
+
         Null ids are left out; null ``item_id`` or texts match by what is there; an empty batch gives an empty result.
         """
         top = self.table("items").agg(F.max("version")).first()[0]
@@ -110,7 +112,10 @@ class History:
         shift = 0 if top is None or low is None else max(0, top - low + 1)
         batch = batch.where("id is not null").dropDuplicates(["id"])
         batch = park(batch.withColumn("seq", F.col("id") + F.lit(shift)).withColumn("key", id_key(F.col("item_id"))), "history-batch")
-        texts = setjoin.readable(batch, "seq", ["name", "summary"], "history-texts")
+        if texts is None:
+            texts = setjoin.readable(batch, "seq", ["name", "summary"], "history-texts")
+        else:
+            texts = texts.join(batch.select("id", "seq"), "id").select(F.col("seq").alias("id"), "text")
         encoded = park(setjoin.encode(texts, self.frequent), "history-codes")
         reps = park(setjoin.classes(encoded), "history-classes")
         fresh = park(setjoin.entries(reps, self.frequent, self.threshold, new=True), "history-entries")
@@ -206,11 +211,13 @@ def matches(edition_items: DataFrame, incoming_items: DataFrame, at_once: int =
     """
     h = History.of(published(edition_items))
     new = arriving(incoming_items).where("id is not null")
+    # how a text reads does not depend on the history, so it is worked out once for all lots
+    texts = park(setjoin.readable(new.dropDuplicates(["id"]), "id", ["name", "summary"], "history-texts"), "history-texts")
     starts = sorted(r["low"] for r in new.groupBy("edition").agg(F.min("id").alias("low")).collect())[::at_once]  # one a batch
     got = []
     for low, high in zip(starts, [*starts[1:], None]):
-        lot = new.where(F.col("id") >= low) if high is None else new.where((F.col("id") >= low) & (F.col("id") < high))
-        got.append(h.match(lot))
+        here = F.col("id") >= low if high is None else (F.col("id") >= low) & (F.col("id") < high)
+        got.append(h.match(new.where(here), texts.where(here)))
         if high is not None:
             h.append()
     if not got:
