@@ -150,6 +150,47 @@ def test_similar_pairs_of_odd_rows(spark):
     assert setjoin.found(df.limit(0)).count() == 0
 
 
+def test_long_lists_are_sent_short_and_once_a_part(spark):
+    """Not once for every word that follows, which is 170 times a set in place of 18."""
+    from tidemark.plans.shared import park
+
+    texts = spark.createDataFrame([(i + (1 << 40) * (i % 3), " ".join(w)) for i, w in enumerate(sets(300, 5))], "id bigint, text string")
+    frequent = setjoin.frequent_words(texts)
+    reps = park(setjoin.classes(setjoin.encode(texts.coalesce(1), frequent)), "test-classes")
+    lists = park(setjoin.entries(reps, frequent, 0.6), "test-lists")
+    sizes = lists.groupBy("word").agg(F.sum("m").alias("m"))
+    assert sum(len(r["list"]) for r in lists.collect()) <= 32 * lists.agg(F.sum("m")).first()[0]
+    low = reps.where("rep < 4294967296")
+    short = setjoin.entries(low, frequent, 0.6)
+    assert short.agg(F.sum(F.length("list")) == 22 * F.sum("m")).first()[0]
+    cut = setjoin.candidates(lists, sizes, 0.6, block=20, split=4)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    found = lambda df: set(map(tuple, setjoin.verify(df, reps, frequent, 0.6).select("a", "b").collect()))
+    assert found(cut) == found(setjoin.candidates(lists, sizes, 0.6)) != set()
+
+
+@pytest.mark.parametrize(("chunk", "dense", "new"), [(1 << 20, 512, False), (64, 3, False), (64, 512, True), (1 << 20, 3, True)])
+def test_long_lists_in_slices_and_at_once(monkeypatch, chunk, dense, new):
+    monkeypatch.setattr(setjoin, "CHUNK", chunk)
+    monkeypatch.setattr(setjoin.Comparer, "DENSE", dense)
+    r = random.Random(2)
+    data = [sorted({0, *(x + r.randrange(3) * (r.random() < 0.1) for x in r.sample(range(1, 40), 12 + i % 3)), *range(40 + i % 2, 55)}) for i in range(400)]
+    n = np.array([len(x) for x in data])
+    e, second = np.zeros(len(data), setjoin.ENTRY), setjoin.merged(n, 0.6, 2)
+    e["id"], e["n"] = range(len(data)), n
+    e["n"][::5] |= setjoin.NEW if new else np.uint32(0)
+    for i, x in enumerate(data):
+        for w in x:
+            e["s"][i, w % 2] ^= np.uint64(1 << w)
+    compare = setjoin.Comparer(0.6, new, 4)
+    compare.add(e, np.array([w for x, k in zip(data, second) for w in x[1:k]], "<u2"))
+    compare.flush()
+    got = {tuple(p) for x in compare.out for p in x.T.tolist()}
+    s = [set(x) for x in data]
+    want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if len(s[i] & s[j]) >= 0.6 * len(s[i] | s[j]) and (not new or i % 5 == 0 or j % 5 == 0)}
+    assert want and want <= got
+
+
 def test_groups(spark):
     rows = [(1, "a b c d e"), (2, "e d c b a"), (3, "a b c d f"), (4, "a b c f g h"), (9, "z")]
     df = spark.createDataFrame(rows, "record_id bigint, title string")

@@ -38,7 +38,7 @@ class History:
     """
 
     SCHEMAS = {
-        "frequent": "rank int, word binary", "lists": "word bigint, m int, list binary, tail binary, slot int", "sets": "rep bigint, codes binary, item_key string, slot int",
+        "frequent": "rank int, word binary", "lists": "word bigint, m int, base bigint, list binary, tail binary, slot int", "sets": "rep bigint, codes binary, item_key string, slot int",
         "ids": "key string, seq bigint, item_key string, slot int", "items": "item_key string, item_id string, first_seen timestamp_ntz, edition_count bigint, version bigint, slot int",
     }
     #: Folders of a table. A batch whose keys fall into few of them leaves the others unread.

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import glyphs
 from tidemark.operators.graph import components
-from tidemark.plans.shared import park
+from tidemark.plans.shared import park, unpark
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -40,10 +40,14 @@ FREQUENT, RANKED = 1e-4, 1 << 20
 #: 64-bit words of a sketch.
 SKETCH = 2
 #: Sets of one word that are compared in one place; longer lists are cut into blocks and every two blocks meet.
-BLOCK = 1 << 16
+BLOCK = 1 << 19
 #: From so many sets on a list is merged with the lists of the words that follow; changes the cost, not the result.
 SPLIT = 256
+#: Entries of a list that are merged by their second words at once; those of a longer list are taken in slices of these words.
+CHUNK = 1 << 20
 
+#: An entry as it is sent, and how it is sent where its numbers are too large for that.
+SHORT = np.dtype([("id", "<u4"), ("s", "<u8", (SKETCH,)), ("n", "u1"), ("pos", "u1")])
 ENTRY = np.dtype([("id", "<i8"), ("s", "<u8", (SKETCH,)), ("n", "<u4"), ("pos", "<u4")])
 NEW = np.uint32(1 << 31)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -163,10 +167,9 @@ def classes(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("codes").alias("codes"))
 
 
-def merged(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many first words of sets of ``n`` words hold the first, and how many the second word that is shared with any similar set."""
-    first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    return first, np.minimum(n, first + 1)
+def merged(n: np.ndarray, threshold: float, k: int) -> np.ndarray:
+    """How many first words of sets of ``n`` words hold the ``k``-th word that is shared with any similar set."""
+    return np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + k)
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -174,8 +177,37 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
+def _pack(e: np.ndarray, cut: np.ndarray, new: bool) -> tuple[np.ndarray, list[bytes]]:
+    """``base`` and the bytes of the entries between every two cuts, which are short where they can be.
+
+    ``base`` is the upper half of their ids; its lowest bits tell whether short entries are new and whether they are short.
+    """
+    base = e["id"] >> 32
+    fits = (e["n"] < 256) & (base == np.repeat(base[cut[:-1]], np.diff(cut)))
+    fits = np.logical_and.reduceat(fits, cut[:-1])
+    short = np.empty(len(e), SHORT)
+    short["id"], short["s"], short["n"], short["pos"] = e["id"] & 0xFFFFFFFF, e["s"], e["n"] & 0xFF, e["pos"] & 0xFF
+    if new:
+        e["n"] |= NEW
+    return np.where(fits, (base[cut[:-1]] << 32) + 2 + new, 0), [(short if ok else e)[i:j].tobytes() for i, j, ok in zip(cut.tolist(), cut[1:].tolist(), fits.tolist())]
+
+
+def _unpack_entries(pieces: dict[int, tuple[list[bytes], list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries and tails of one word from its pieces by their base."""
+    got = []
+    for base, (lists, _) in pieces.items():
+        if not base & 2:
+            got.append(np.frombuffer(b"".join(lists), ENTRY))
+            continue
+        short = np.frombuffer(b"".join(lists), SHORT)
+        e = np.empty(len(short), ENTRY)
+        e["id"], e["s"], e["n"], e["pos"] = short["id"].astype(np.int64) | (base >> 32 << 32), short["s"], short["n"] | (NEW if base & 1 else np.uint32(0)), short["pos"]
+        got.append(e)
+    return got[0] if len(got) == 1 else np.concatenate(got), np.frombuffer(b"".join([t for _, tails in pieces.values() for t in tails]), "<u2")
+
+
 def entries(reps: DataFrame, frequent: list[bytes], threshold: float, new: bool = False) -> DataFrame:
-    """The short lists, in pieces: ``word, list, tail`` with the entries of the sets that have the word among their first.
+    """The short lists, in pieces: ``word, m, base, list, tail`` with the entries of the sets that have the word among their first.
 
     ``tail`` holds for each entry the words after this one that take part in the merge, hashed to 16 bits: words with
     one hash are merged as one, which adds candidates and loses none. ``m`` is the number of entries of a piece.
@@ -192,23 +224,22 @@ def entries(reps: DataFrame, frequent: list[bytes], threshold: float, new: bool
             bit, code = (mixed >> np.uint64(40)) % np.uint64(64 * SKETCH), (mixed >> np.uint64(48)).astype("<u2")
             one = np.uint64(1) << (bit & np.uint64(63))
             sketch = np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), start) for w in range(SKETCH)], axis=1)
-            first, second = merged(n, threshold)
+            first, last = merged(n, threshold, 1), merged(n, threshold, 2)
             row = np.repeat(np.arange(len(n)), first)
             pos = _ranges(np.zeros(len(n), np.int64), first)
             word = flat[start[row] + pos]
+            order = np.argsort(word, kind="stable")
+            word, row, pos = word[order], row[order], pos[order]
             e = np.empty(len(row), ENTRY)
             e["id"], e["s"], e["n"], e["pos"] = b["rep"].to_numpy()[row], sketch[row], n[row], pos
-            if new:
-                e["n"] |= NEW
-            order = np.argsort(word, kind="stable")
-            word, e, row, pos = word[order], e[order], row[order], pos[order]
-            length = second[row] - pos - 1
+            length = last[row] - pos - 1
             tail = code[_ranges(start[row] + pos + 1, length)]
             cut = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1, [len(word)]])
             at = np.concatenate([[0], np.cumsum(length)])[cut]
-            yield pd.DataFrame({"word": word[cut[:-1]], "m": np.diff(cut), "list": [e[i:j].tobytes() for i, j in zip(cut, cut[1:])], "tail": [tail[i:j].tobytes() for i, j in zip(at, at[1:])]})
+            base, lists = _pack(e, cut, new)
+            yield pd.DataFrame({"word": word[cut[:-1]], "m": np.diff(cut), "base": base, "list": lists, "tail": [tail[i:j].tobytes() for i, j in zip(at, at[1:])]})
 
-    return reps.select("rep", "codes").mapInPandas(run, "word bigint, m int, list binary, tail binary")
+    return reps.select("rep", "codes").mapInPandas(run, "word bigint, m int, base bigint, list binary, tail binary")
 
 
 def list_sizes(reps: DataFrame, frequent: list[bytes], threshold: float) -> DataFrame:
@@ -219,27 +250,17 @@ def list_sizes(reps: DataFrame, frequent: list[bytes], threshold: float) -> Data
         for b in batches:
             flat, n = unpack(b["codes"].tolist(), rank)
             if len(n):
-                word, m = np.unique(flat[_ranges(np.cumsum(n) - n, merged(n, threshold)[0])], return_counts=True)
+                word, m = np.unique(flat[_ranges(np.cumsum(n) - n, merged(n, threshold, 1))], return_counts=True)
                 yield pd.DataFrame({"word": word, "m": m})
 
     return reps.select("codes").mapInPandas(run, "word bigint, m bigint").groupBy("word").agg(F.sum("m").alias("m"))
 
 
-def second_words(e: np.ndarray, tail: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """``tiny, code, row, pos``: entries merged by a second word, in order of its code, with their row and its place.
-
-    ``tiny`` are the rows of sets so small that one shared word is enough for a pair of them.
-    """
-    n, pos = (e["n"] & ~NEW).astype(np.int64), e["pos"].astype(np.int64)
-    length = merged(n, threshold)[1] - pos - 1
-    order = np.argsort(tail, kind="stable")
-    return np.flatnonzero(np.ceil(threshold * n - 1e-9) < 2), tail[order], np.repeat(np.arange(len(e)), length)[order], _ranges(pos + 1, length)[order]
-
-
 class Comparer:
     """Merges and compares the lists of one word after another; what is to be compared is gathered and swept through together."""
 
-    ITEMS = 1 << 16
+    #: Entries that are swept through together; a group of more than so many is compared for itself.
+    ITEMS, DENSE = 1 << 15, 512
 
     def __init__(self, threshold: float, only_new: bool, split: int = SPLIT) -> None:
         self.threshold, self.only_new, self.split = threshold, only_new, split
@@ -248,38 +269,95 @@ class Comparer:
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.items = 0
 
-    def add(self, e: np.ndarray, tail: np.ndarray | None) -> None:
-        """The entries of a word with their tails, or, without tails, of two words of which ``pos`` is the place of the second."""
+    def add(self, e: np.ndarray, tail: np.ndarray) -> None:
+        """The entries of a word with their tails."""
         if len(e) < 2 or self.only_new and not (e["n"] & NEW).any():
             return
         n, pos = (e["n"] & ~NEW).astype(np.int64), e["pos"].astype(np.int64)
         order = np.argsort(n, kind="stable")  # every group is in order of size
-        if tail is None or len(e) <= self.split:
-            # the words that are shared so far and all that come after
-            self._put(e, order, np.array([len(e)]), (n - pos + (tail is None))[order])
+        length = merged(n, self.threshold, 2) - pos - 1
+        start = (np.cumsum(length) - length)[order]
+        n, pos, length = n[order], pos[order], length[order]
+        self.now = e["id"][order], e["s"][:, 0][order], e["s"][:, 1][order], e["n"][order], n
+        row = np.arange(len(e), dtype=np.int32)
+        if len(e) <= self.split:
+            self._put(row, pos, np.array([len(e)]), 1)
             return
-        length = merged(n, self.threshold)[1] - pos - 1
-        tail = tail[_ranges((np.cumsum(length) - length)[order], length[order])]
-        e, n, pos = e[order], n[order], pos[order]
-        tiny, code, row, pos2 = second_words(e, tail, self.threshold)
-        if len(tiny) > 1:
-            self._put(e, tiny, np.array([len(tiny)]), (n - pos)[tiny])
-        left = n[row] - pos2 + 1
-        cut = np.concatenate([[0], np.nonzero(code[1:] != code[:-1])[0] + 1]) if len(code) else np.empty(0, np.int64)
-        size = np.diff(np.concatenate([cut, [len(code)]]))
-        keep = size > 1
-        if self.only_new and len(cut):
-            keep &= np.bitwise_or.reduceat(e["n"][row] & NEW, cut) > 0
-        some = np.repeat(keep, size)
-        self._put(e, row[some], size[keep], left[some])
-
-    def _put(self, e: np.ndarray, at: np.ndarray, sizes: np.ndarray, left: np.ndarray) -> None:
-        if len(at):
-            self.waiting.append((e["id"][at], e["s"][:, 0][at], e["s"][:, 1][at], e["n"][at], left, sizes))
-            self.items += len(at)
+        # sets so small that one shared word is enough for a pair of them
+        tiny = np.flatnonzero(np.ceil(self.threshold * n - 1e-9) < 2)
+        self._put(row[tiny], pos[tiny], np.array([len(tiny)]), 1)
+        row, place, pos = np.repeat(row, length), _ranges(start, length), _ranges(pos + 1, length).astype(np.uint32)
+        code = tail[place]
+        del place
+        slices = min(1 << max(0, (len(code) - 1) // CHUNK).bit_length(), 1 << 16)
+        for s in range(slices):
+            at = np.flatnonzero((code & (slices - 1)) == s) if slices > 1 else slice(None)
+            order = np.argsort(code[at], kind="stable")
+            c, r, p = code[at][order], row[at][order], pos[at][order]
+            cut = np.concatenate([[0], np.nonzero(c[1:] != c[:-1])[0] + 1]) if len(c) else np.empty(0, np.int64)
+            sizes = np.diff(np.concatenate([cut, [len(c)]]))
+            keep = sizes > 1
+            if self.only_new and len(cut):
+                keep &= np.bitwise_or.reduceat(self.now[3][r] & NEW, cut) > 0
+            some = np.repeat(keep, sizes)
+            self._put(r[some], p[some].astype(np.int64), sizes[keep], 2)
+
+    def _put(self, row: np.ndarray, pos: np.ndarray, sizes: np.ndarray, k: int) -> None:
+        """Groups of entries that share ``k`` words, the last of them at ``pos``: large ones are compared, others wait to be compared together."""
+        if not len(row):
+            return
+        ids, s0, s1, size, n = self.now[:5]
+        left = n[row] - pos - 1 + k  # the words that are shared so far and all that come after
+        dense = sizes > self.DENSE
+        if dense.any():
+            end = np.cumsum(sizes)
+            for i, j in zip((end - sizes)[dense].tolist(), end[dense].tolist()):
+                self._dense(row[i:j], left[i:j])
+            some = np.repeat(~dense, sizes)
+            row, left, sizes = row[some], left[some], sizes[~dense]
+        for i in range(0, len(sizes), self.ITEMS // self.DENSE):
+            part = sizes[i : i + self.ITEMS // self.DENSE]
+            j = int(part.sum())
+            r, row = row[:j], row[j:]
+            self.waiting.append((ids[r], s0[r], s1[r], size[r], left[:j], part))
+            left = left[j:]
+            self.items += j
             if self.items >= self.ITEMS:
                 self.flush()
 
+    def _reach(self, n: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Half of what a pair may differ in, up to what a sketch can show, and the largest set that so much overlap suffices for."""
+        return np.minimum(32 * SKETCH, np.ceil(self.a_diff * n)).astype(np.uint8), np.floor(left / self.a_sum - n + 1e-9).astype(np.int64)
+
+    def _dense(self, row: np.ndarray, left: np.ndarray) -> None:
+        """Compare a large group, many with many: those that can be the smaller set of a pair with all that are no smaller and that they may reach."""
+        ids, s0, s1, size, n = (x[row] for x in self.now[:5])
+        fresh, found, waiting = (size & NEW) > 0, [], 0
+        q, most = self._reach(n, left)
+        small = np.flatnonzero(most >= n)
+        for i in range(0, len(small), 16):
+            u = small[i : i + 16]
+            # a set that this leaves without a partner of its own size meets smaller ones only, down to the first of these
+            v = np.arange(u[0] + 1, np.searchsorted(n, most[u].max(), "right"))
+            v = v[most[v] >= n[u[0]]]
+            if self.only_new and not fresh[u].all():
+                v = v if fresh[u].any() else v[fresh[v]]
+            for j in range(0, len(v), 2048):
+                w = v[j : j + 2048]
+                bits = np.bitwise_count(s0[u][:, None] ^ s0[w])
+                bits += np.bitwise_count(s1[u][:, None] ^ s1[w])
+                hit = np.flatnonzero((bits <= q[u][:, None] + q[w]).ravel())
+                if len(hit):
+                    a, b = u[hit // len(w)], w[hit % len(w)]
+                    ok = (b > a) & (n[b] <= most[a])
+                    found.append(np.stack([a[ok], b[ok]]))
+                    waiting += len(a)
+                    if waiting > 1 << 16:
+                        self._check(np.concatenate(found, axis=1), ids, s0, s1, n, left, fresh)
+                        found, waiting = [], 0
+        if found:
+            self._check(np.concatenate(found, axis=1), ids, s0, s1, n, left, fresh)
+
     def flush(self) -> None:
         """Compare all that waits: every item with the one ``d`` places further in its group, for every ``d`` that its place allows."""
         if not self.waiting:
@@ -287,10 +365,7 @@ class Comparer:
         ids, s0, s1, size, left, sizes = (np.concatenate(c) for c in zip(*self.waiting))
         self.waiting, self.items = [], 0
         fresh, n = (size & NEW) > 0, (size & ~NEW).astype(np.int64)
-        # half of what a pair may differ in, up to what a sketch can show
-        q = np.minimum(32 * SKETCH, np.ceil(self.a_diff * n)).astype(np.uint8)
-        # the largest set that so much overlap suffices for; a set that this leaves without a partner of its own size meets smaller ones only
-        most = np.floor(left / self.a_sum - n + 1e-9).astype(np.int64)
+        q, most = self._reach(n, left)
         group = np.repeat(np.arange(len(sizes)) << 32, sizes)
         key, limit = np.append(group + n, np.iinfo(np.int64).max), group + most
         at = np.flatnonzero(most >= n)
@@ -329,62 +404,40 @@ class Comparer:
             self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
 
 
-def _by_second_word(pieces: DataFrame, threshold: float) -> DataFrame:
-    """Pieces ``word, second, m, list`` of pieces ``word, list, tail``; ``second`` is -1 for sets that need no second word."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for w, x, y in zip(b["word"], b["list"], b["tail"]):
-                e = np.frombuffer(x, ENTRY)
-                tiny, code, row, pos = second_words(e, np.frombuffer(y, "<u2"), threshold)
-                code = np.concatenate([np.full(len(tiny), -1), code.astype(np.int64)])
-                if not len(code):
-                    continue
-                got = e[np.concatenate([tiny, row])]
-                got["pos"][len(tiny) :] = pos
-                cut = np.concatenate([[0], np.nonzero(code[1:] != code[:-1])[0] + 1, [len(code)]])
-                yield pd.DataFrame({"word": w, "second": code[cut[:-1]], "m": np.diff(cut), "list": [got[i:j].tobytes() for i, j in zip(cut, cut[1:])]})
-
-    return pieces.select("word", "list", "tail").mapInPandas(run, "word bigint, second int, m int, list binary")
-
-
 def candidates(lists: DataFrame, sizes: DataFrame, threshold: float, only_new: bool = False, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """``a, b`` (ids, a < b) of all pairs that occur in enough short lists and whose sketches allow the threshold.
 
-    ``sizes`` (word, m) are those of the lists. A list of more than ``block`` entries is merged with the lists of the
-    words that follow before it is sent, so that its parts go to many tasks, each entry about as often as its set has
-    words to merge. What is longer than ``block`` even so is cut, and every two blocks meet in a cell of their own; so no
-    task holds more than two blocks.
+    ``sizes`` (word, m) are those of the lists. A list of more than ``block`` entries is cut, and every two parts meet in
+    a cell of their own; so no task holds more than two blocks.
     """
-    cells = lists.select("word", F.lit(-2).alias("second"), F.lit(0).alias("p"), F.lit(0).alias("q"), "list", "tail")
     # parked, as the size of what is left decides how it is joined; at most all entries / block words
-    long = park(sizes.where(F.col("m") > block).select("word"), "setjoin-long")
-    if not long.isEmpty():
-        deep = _by_second_word(lists.join(long, "word", "left_semi"), threshold)
-        longer = park(deep.groupBy("word", "second").agg(F.sum("m").alias("m")).where(F.col("m") > block).select("word", "second", F.ceil(F.col("m") / block).cast("int").alias("k")), "setjoin-long")
-        deep = deep.join(longer, ["word", "second"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
-        deep = deep.withColumn("part", F.pmod(F.xxhash64("list"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        deep = deep.select("word", "second", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "list", F.lit(None).cast("binary").alias("tail"))
-        cells = cells.join(long, "word", "left_anti").unionByName(deep)
-    cells = cells.repartition("word", "second", "p", "q").sortWithinPartitions("word", "second", "p", "q")
+    long = park(sizes.where(F.col("m") > block).select("word", F.ceil(F.col("m") / block).cast("int").alias("k")), "setjoin-long")
+    if long.isEmpty():
+        cells = lists.select("word", F.lit(0).alias("p"), F.lit(0).alias("q"), "m", "base", "list", "tail")
+    else:
+        cells = lists.join(long, "word", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        cells = cells.withColumn("part", F.pmod(F.xxhash64("list"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        cells = cells.select("word", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "m", "base", "list", "tail")
+    cells = cells.repartition("word", "p", "q").sortWithinPartitions("word", "p", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tails, now, compare = [], [], None, Comparer(threshold, only_new, split)
+        held, m, now, compare = {}, 0, None, Comparer(threshold, only_new, split)
 
         def flush():
-            nonlocal held, tails
-            if held and (len(held) > 1 or len(held[0]) > ENTRY.itemsize):
-                e = np.frombuffer(b"".join(held), ENTRY)
-                compare.add(e, np.frombuffer(b"".join(tails), "<u2") if now[1] == -2 else None)
-            held, tails = [], []
+            nonlocal held, m
+            if m > 1:
+                compare.add(*_unpack_entries(held))
+            held, m = {}, 0
 
         for b in batches:
-            for w, c, p, q, x, y in zip(b["word"], b["second"], b["p"], b["q"], b["list"], b["tail"]):
-                if (w, c, p, q) != now:
+            for w, p, q, k, base, x, y in zip(b["word"].tolist(), b["p"].tolist(), b["q"].tolist(), b["m"].tolist(), b["base"].tolist(), b["list"], b["tail"]):
+                if (w, p, q) != now:
                     flush()
-                    now = (w, c, p, q)
-                held.append(x)
+                    now = (w, p, q)
+                lists, tails = held.setdefault(base, ([], []))
+                lists.append(x)
                 tails.append(y)
+                m += k
             if sum(x.shape[1] for x in compare.out) > 50_000:
                 yield _pairs(compare.out)
                 compare.out.clear()
@@ -434,7 +487,8 @@ class Join:
         frequent = frequent_words(texts)
         encoded = park(encode(texts, frequent), "setjoin-codes")
         self.reps = park(classes(encoded), "setjoin-classes")
-        self.members = encoded.select("id", "h1", "h2").join(self.reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
+        self.members = park(encoded.select("id", "h1", "h2").join(self.reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct(), "setjoin-members")
+        unpark(encoded)
         # parked, as the size of what is left decides how it is joined
         sizes = list_sizes(self.reps, frequent, threshold)
         found = park(candidates(entries(self.reps, frequent, threshold), sizes, threshold, block=block, split=split), "setjoin-candidates")
@@ -450,7 +504,7 @@ def similar_pairs(rows: DataFrame, key: str, columns: list[str], threshold: floa
     A class of more than ``part`` rows is cut and its parts meet pairwise, in tasks of their own.
     """
     j = Join(rows, key, columns, threshold)
-    members = park(j.members.distinct(), "setjoin-members")
+    members = j.members
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # parked, as the size of what is left decides how it is joined
     parts = park(copies.select("rep", F.ceil(F.col("copies") / part).cast("int").alias("k")), "setjoin-parts")
@@ -474,7 +528,7 @@ def groups(rows: DataFrame, key: str, columns: list[str], threshold: float = 0.6
     the rows with another set that is similar. Rows without a copy or link are left out.
     """
     j = Join(rows, key, columns, threshold)
-    members = park(j.members.distinct(), "setjoin-members")
+    members = j.members
     size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     both = j.pairs.select("a", "b").unionByName(j.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("links")).withColumnRenamed("a", "rep")
