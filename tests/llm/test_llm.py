@@ -383,6 +383,25 @@ def test_near_windows_against_brute_force(spark):
         assert set(map(tuple, leakage.leaks(d, e, radius=radius, similarity=0.8).select("doc_id", "item_no").collect())) == want and want
 
 
+def test_near_windows_of_any_distance(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(30)}" for _ in range(200)]
+    edit = lambda ws: [f"w{r.randrange(30)}" if r.random() < 0.04 else w for w in ws]
+    docs = {i: edit(base[k : k + 40]) for i, k in enumerate(r.randrange(160) for _ in range(40))}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, " ".join(base))], "item_no bigint, text string")
+    held = {tuple(base[i : i + 12]) for i in range(189)}
+    counts = np.zeros(leakage.COUNTERS)
+    for g in held:
+        for w in g:
+            counts[leakage._slot(w)] += 1
+    weight = np.log1p(counts.sum() / (1 + counts))
+    near = lambda g, x: g == x or leakage.shingle_similarity(g, x, lambda w: weight[leakage._slot(w)]) >= 0.8
+    want = {(i, sum(any(near(tuple(w[j : j + 12]), g) for j in range(29)) for g in held)) for i, w in docs.items()}
+    assert set(map(tuple, leakage.edited(d, e).select("doc_id", "windows").collect())) == {x for x in want if x[1]}
+    assert set(map(tuple, leakage.leaks(d, e, radius=2, similarity=0.8).select("doc_id", "windows").collect())) != {x for x in want if x[1]}
+
+
 def test_markup():
     assert leakage.words('one <a href="' + "x" * 2000 + '" title=\'a b\'>two</a> <input disabled> three<br/>four') == ["one", "two", "three", "four"]
     assert leakage.words("if a<b and c>d then") == ["if", "a", "b", "and", "c", "d", "then"]

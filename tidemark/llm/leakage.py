@@ -168,14 +168,85 @@ def _weights(windows: DataFrame) -> np.ndarray:
     return np.log1p(counts.sum() / (1 + counts))
 
 
+def _shingle(u: str, v: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{u} {v}") >> 1
+
+
+def _keys(window: list[str], weight, similarity: float) -> list[int]:
+    """The heaviest word pairs of a window, of which two windows that are similar enough share one: the others together weigh too little."""
+    pairs = sorted((-weight(u) - weight(v), _shingle(u, v)) for u, v in set(zip(window, window[1:])))
+    rest, total, out = -sum(w for w, _ in pairs), -sum(w for w, _ in pairs), []
+    for w, h in pairs:
+        if rest < similarity * total - 1e-6:
+            break
+        out.append(h)
+        rest += w
+    return out
+
+
+def _all_similar(texts: DataFrame, distinct: DataFrame, weights, n: int, similarity: float) -> DataFrame:
+    """``doc_id, t, block, other, text`` of the windows of documents that may be similar to one of an item, and ``print, window, t, block`` of items.
+
+    A window is left out where the word pairs that no item has weigh too much.
+    """
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"print": sorted({_shingle(u, v) for x in b["window"] for u, v in zip(x.split(" "), x.split(" ")[1:])})}, dtype="int64")
+
+    sent = texts.sparkSession.sparkContext.broadcast(_filter(distinct.mapInPandas(shingles, "print bigint").distinct(), 0))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, table = np.unpackbits(sent.value, bitorder="little").view(bool), weights.value
+        weight = lambda w: table[_slot(w)]
+        for b in batches:
+            for doc, text in zip(b["doc_id"].tolist(), b["text"]):
+                w = words(text)
+                if len(w) < n:
+                    continue
+                h = np.array([_shingle(x, y) for x, y in zip(w, w[1:])], np.uint64)
+                one, two = _places(h, 0)
+                of = np.array([weight(x) for x in w])
+                heavy = of[1:] + of[:-1]
+                # a pair that stands twice in a window counts once: it may take nothing from what is missing, but its weight from the whole
+                missing = np.concatenate([[0], np.cumsum(np.where(bits[one] & bits[two], 0, heavy))])
+                whole = np.concatenate([[0], np.cumsum(heavy)])
+                gone, all_ = missing[n - 1 :] - missing[: -n + 1], whole[n - 1 :] - whole[: -n + 1]
+                rows = []
+                for i in np.flatnonzero((gone <= (1 - similarity) * all_ + 1e-6) | (gone > 0) & _repeats(h, n - 1)).tolist():
+                    window = w[i : i + n]
+                    rows += [(doc, 0, k, 0, " ".join(window)) for k in _keys(window, weight, similarity)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "t", "block", "other", "text"]).drop_duplicates()
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight = lambda w: weights.value[_slot(w)]
+        for b in batches:
+            got = [(p, x, s, 0, k) for p, x, s in zip(b["print"], b["window"], b["salt"]) for k in _keys(x.split(" "), weight, similarity)]
+            yield pd.DataFrame(got, columns=["print", "window", "salt", "t", "block"])
+
+    return texts.mapInPandas(search, "doc_id bigint, t int, block bigint, other bigint, text string"), tables
+
+
+def _repeats(h: np.ndarray, m: int) -> np.ndarray:
+    """Whether a value stands twice among the ``m`` from each place on."""
+    order = np.argsort(h, kind="stable")
+    near = np.flatnonzero((h[order][1:] == h[order][:-1]) & (np.diff(order) < m))
+    mark = np.zeros(len(h) + 1, np.int64)
+    np.add.at(mark, np.maximum(0, order[near + 1] - m + 1), 1)
+    np.add.at(mark, order[near] + 1, -1)
+    return np.cumsum(mark)[: len(h) - m + 1] > 0
+
+
 def leaks(documents: DataFrame, items: DataFrame, n: int = 12, radius: int | None = None, similarity: float = 1.0) -> DataFrame:
     """``doc_id, item_no, windows, share`` for each document that holds a passage of an item.
 
     ``windows`` counts the distinct windows of ``n`` words of the item that stand in the document, ``share`` is their
     part of all distinct windows of the item. With ``similarity`` 1.0 a window must have the same words in the same
-    order, which is at least ``n`` consecutive words in common, and no radius is needed. Below 1.0 windows within
-    ``radius`` bits (2, if not given) count from that weighted shingle similarity on; windows further apart are not
-    found, so that the radius sets the recall.
+    order, which is at least ``n`` consecutive words in common, and no radius is needed. Below 1.0 all windows count
+    from that weighted shingle similarity on, or with a ``radius`` those only whose fingerprints are within so many bits.
 
     Items are nowhere gathered; the filter and the word weights that are sent to the workers have a fixed size.
     Null texts and texts or items of fewer than ``n`` words give no row, nor do null ids; repeated documents or items
@@ -184,7 +255,8 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, radius: int | Non
     if not 2 <= n < 128:
         raise ValueError("n must be from 2 to 127")
     exact = similarity >= 1.0
-    radius = 0 if exact else 2 if radius is None else radius
+    every = not exact and radius is None
+    radius = 0 if exact or every else radius
     spark = documents.sparkSession
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = items.where("item_no is not null and text is not null").select(F.col("item_no").cast("bigint"), F.col("text").cast("string"))
@@ -236,13 +308,17 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, radius: int | Non
             if got is not None:
                 yield got
 
-    near = texts.mapInPandas(search, "doc_id bigint, t int, block bigint, other bigint, text string")
+    if not exact:
+        weights = spark.sparkContext.broadcast(_weights(windows))
+    if every:
+        near, tables = _all_similar(texts, distinct, weights, n, similarity)
+    else:
+        near = texts.mapInPandas(search, "doc_id bigint, t int, block bigint, other bigint, text string")
     near = near.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
     salted = distinct.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
     if exact:
         found = near.join(salted, (near["block"] == salted["print"]) & (near["text"] == salted["window"]) & (near["salt"] == salted["salt"])).select("doc_id", "window")
     else:
-        weights = spark.sparkContext.broadcast(_weights(windows))
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             weight = lambda w: weights.value[_slot(w)]
@@ -250,14 +326,16 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, radius: int | Non
                 ok = [x == y or shingle_similarity(x.split(" "), y.split(" "), weight) >= similarity for x, y in zip(b["text"], b["window"])]
                 yield b.loc[ok, ["doc_id", "window"]]
 
-        def tables(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def by_block(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in bs:
                 parts = blocks(b["print"].to_numpy().astype(np.uint64), radius)
                 for t in range(radius + 1):
                     yield b.assign(t=t, block=parts[:, t].astype(np.int64))
 
-        keyed = salted.mapInPandas(tables, "print bigint, window string, salt bigint, t int, block bigint")
-        pairs = near.join(keyed, ["t", "block", "salt"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius)
+        keyed = salted.mapInPandas(tables if every else by_block, "print bigint, window string, salt bigint, t int, block bigint")
+        pairs = near.join(keyed, ["t", "block", "salt"])
+        if not every:
+            pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius)
         found = pairs.select("doc_id", "text", "window").distinct().mapInPandas(verify, "doc_id bigint, window string")
     owners = windows.select("window", "item_no")
     total = windows.groupBy("item_no").agg(F.count(F.lit(1)).alias("total"))
